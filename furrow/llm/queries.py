@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import lm_score, quality_rules, token_count, url_filter
+from furrow.llm import learning, lm_score, mixing, quality_classifier, quality_rules, token_count, toxicity, url_filter
 from furrow.llm.storage import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +25,34 @@ URL_RULES = [
 ]
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
+def _held_out(folds: int, fold: int) -> Column:
+    return F.coalesce(doc_crc("doc_id") % folds == fold, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = learning.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~_held_out(3, 1))
+    scored = toxicity.toxicity(docs, toxicity.fit(sample))
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "patterns")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = learning.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~_held_out(4, 2))
+    scored = quality_classifier.quality(docs, quality_classifier.fit_sample(sample))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -44,7 +66,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     scored = lm_score.lm_scores(docs, doc_crc("doc_id") % 10 != 0, public_tokenizers.path("piece_bpe_32k.model"))
-    return scored.withColumn("held_out", F.coalesce(doc_crc("doc_id") % 10 == 0, F.lit(False)))
+    return scored.withColumn("held_out", _held_out(10, 0))
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -95,7 +117,10 @@ SELECT page_id, host, path, by_host.r AS rule, coalesce(by_host.a, by_pattern.a,
 
 
 QUERIES: dict[str, Query] = {
+    "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op10_lm_score": op10_lm_score,
