@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import learning, lm_score, mixing, quality_classifier, quality_rules, token_count, toxicity, url_filter
+from furrow.llm import learning, lm_score, mixing, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
 from furrow.llm.storage import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ URL_RULES = [
 ]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -72,6 +76,24 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def _op1_sql() -> str:
+    n = substring_dedup.WINDOW
+    return rf"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM docs),
+wins AS (SELECT doc_id, unnest(range(len(ws) - {n - 1})) AS i, ws FROM docs WHERE len(ws) >= {n}),
+named AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + {n}], ' ')) AS g FROM wins),
+later AS (SELECT doc_id, i FROM named QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+steps AS (SELECT doc_id, i AS pos, 1 AS d FROM later UNION ALL SELECT doc_id, i + {n}, -1 FROM later),
+borders AS (SELECT doc_id, pos, sum(d) AS d FROM steps GROUP BY ALL),
+runs AS (SELECT doc_id, pos, lead(pos) OVER w AS upto, sum(d) OVER w AS depth FROM borders WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+gone AS (SELECT doc_id, unnest(range(pos, upto)) AS i FROM runs WHERE depth > 0),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def _op7_sql() -> str:
     grams = ", ".join(map(str, (3, *quality_rules.MAX_GRAM_PERCENT)))
     bad = " OR ".join(f"100 * dup_chars_{n} > {most} * word_chars" for n, most in quality_rules.MAX_GRAM_PERCENT.items())
@@ -117,6 +139,7 @@ SELECT page_id, host, path, by_host.r AS rule, coalesce(by_host.a, by_pattern.a,
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
@@ -125,4 +148,4 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _op1_sql(), "op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql()}

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_dir: str | None = None
+#: A written table needs the shuffle files of its job no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that ``small`` may broadcast.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +44,12 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -60,3 +69,8 @@ def doc_crc(doc_id: Column | str) -> Column:
     """crc32 of the id as text; the folds of the labelled operators are remainders of it."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if its counted rows are within the limit; beyond it, joins shuffle it."""
+    return F.broadcast(df) if rows <= limit else df
