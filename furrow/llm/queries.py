@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import learning, lm_score, mixing, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
+from furrow.llm import learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
 from furrow.llm.storage import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -94,6 +98,20 @@ FROM docs LEFT JOIN kept k USING (doc_id)
 """
 
 
+def _op2_sql() -> str:
+    return rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 2], ' ') END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS node FROM docs UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON ways.a = r.node),
+least AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM docs JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def _op7_sql() -> str:
     grams = ", ".join(map(str, (3, *quality_rules.MAX_GRAM_PERCENT)))
     bad = " OR ".join(f"100 * dup_chars_{n} > {most} * word_chars" for n, most in quality_rules.MAX_GRAM_PERCENT.items())
@@ -140,6 +158,7 @@ SELECT page_id, host, path, by_host.r AS rule, coalesce(by_host.a, by_pattern.a,
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
@@ -148,4 +167,4 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": _op1_sql(), "op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _op1_sql(), "op2_near_dedup": _op2_sql(), "op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql()}
