@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
+from furrow.llm import decontamination, learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
 from furrow.llm.storage import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +81,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", _held_out(10, 0))
 
 
+_LOW_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -100,7 +105,7 @@ FROM docs LEFT JOIN kept k USING (doc_id)
 
 def _op2_sql() -> str:
     return rf"""
-WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, {_LOW_WORDS} AS ws FROM documents),
 shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 2], ' ') END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM docs)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -156,6 +161,26 @@ SELECT page_id, host, path, by_host.r AS rule, coalesce(by_host.a, by_pattern.a,
 """
 
 
+def _op9_sql() -> str:
+    words = _LOW_WORDS
+    n = decontamination.SHINGLE
+    return rf"""
+WITH docs AS (SELECT doc_id, {words} AS ws FROM documents),
+items AS (SELECT item_id, {words} AS it, len(it) AS size, least({n}, len(it)) AS m FROM benchmark WHERE len(it) > 0),
+item_s AS (SELECT item_id, size, m, i, array_to_string(it[i : i + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM items)),
+doc_s AS (SELECT doc_id, len(ws) AS n, m, i, array_to_string(ws[i : i + m - 1], ' ') AS s FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM items) WHERE len(ws) >= m)),
+places AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(d.i - x.i, n - size)) AS start FROM doc_s d JOIN item_s x USING (m, s)),
+wins AS (SELECT p.*, i.m, ws[start + 1 : start + i.size] AS win FROM places p JOIN docs USING (doc_id) JOIN items i USING (item_id)),
+win_s AS (SELECT DISTINCT doc_id, item_id, start, array_to_string(win[k : k + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(win) - m + 2)) AS k FROM wins)),
+item_d AS (SELECT DISTINCT item_id, s FROM item_s),
+item_w AS (SELECT item_id, sum(length(s)) AS w FROM item_d GROUP BY item_id),
+win_w AS (SELECT doc_id, item_id, start, sum(length(s)) AS w, sum(CASE WHEN d.s IS NOT NULL THEN length(win_s.s) ELSE 0 END) AS shared FROM win_s LEFT JOIN item_d d USING (item_id, s) GROUP BY ALL),
+match AS (SELECT doc_id, item_id, start, shared::BIGINT AS shared, (win_w.w + i.w - shared)::BIGINT AS total FROM win_w JOIN item_w i USING (item_id) WHERE 100 * shared >= {decontamination.PERCENT} * (win_w.w + i.w - shared)),
+best AS (SELECT * FROM match QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, start) = 1)
+SELECT doc_id, item_id, best.start::INTEGER AS start, len(win)::INTEGER AS n_words, best.shared / best.total AS similarity FROM best JOIN wins USING (doc_id, item_id, start)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -165,6 +190,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": _op1_sql(), "op2_near_dedup": _op2_sql(), "op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _op1_sql(), "op2_near_dedup": _op2_sql(), "op7_quality_rules": _op7_sql(), "op8_url_filter": _op8_sql(), "op9_decontamination": _op9_sql()}
