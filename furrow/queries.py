@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from furrow.adapter import POINTS_DUCKDB, yield_points
 from furrow.functions import geo, units
 from furrow.operators import anonymize, audit, delay, filters, motion, order, spatial, thresholds
+from furrow.plans import cleaning
+from furrow.sinks import raster
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,3 +240,19 @@ add("n8_translation", lambda d: anonymize.anonymize_data(d, dx=1000, dy=-2000).s
 add("n8_rotation", lambda d: anonymize.anonymize_data(d, "coordinates", "rotation", angle=90.0).select(*IDS, F.round("X", 4).alias("X"), F.round("Y", 4).alias("Y")), "t AS (SELECT *, avg(X) OVER f AS mx, avg(Y) OVER f AS my FROM pts WINDOW f AS (PARTITION BY field_id)) SELECT field_id, row_id, round(mx - (Y - my), 4) AS X, round(my + (X - mx), 4) AS Y FROM t")
 add("n9_aggregate_cells", lambda d: anonymize.aggregate_cells(d).select("field_id", F.col("cell_x").cast("double").alias("cell_x"), F.col("cell_y").cast("double").alias("cell_y"), "n", r6("Flow").alias("Flow")), "t AS (SELECT 1) SELECT field_id, floor(X / 50) * 50 AS cell_x, floor(Y / 50) * 50 AS cell_y, count(*) AS n, round(avg(Flow), 6) AS Flow FROM pts GROUP BY 1, 2, 3")
 add("n9_rounded", lambda d: anonymize.rounded(d).select(*IDS, "Longitude", "Latitude"), "t AS (SELECT 1) SELECT field_id, row_id, round(Longitude, 3) AS Longitude, round(Latitude, 3) AS Latitude FROM pts")
+
+# Gridded maps.
+add("snk6_cell_means", lambda d: raster.cell_means(d).select("field_id", "cell_x", "cell_y", r6("value").alias("value"), "n"), "t AS (SELECT 1) SELECT field_id, floor(X / 5)::BIGINT AS cell_x, floor(Y / 5)::BIGINT AS cell_y, round(avg(Flow), 6) AS value, count(*) AS n FROM pts WHERE Flow IS NOT NULL GROUP BY 1, 2, 3")
+_ONE = "X < 435060 AND row_id < 2500"
+_GRID = """p AS (SELECT * FROM pts WHERE X < 435060 AND row_id < 2500), b AS (SELECT field_id, floor(min(X) / 4)::BIGINT AS x0, floor(max(X) / 4)::BIGINT AS x1, floor(min(Y) / 4)::BIGINT AS y0, floor(max(Y) / 4)::BIGINT AS y1 FROM p GROUP BY 1),
+c AS (SELECT field_id, cell_x, y0, y1 FROM (SELECT *, unnest(range(x0 - 5, x1 + 6)) AS cell_x FROM b)), g AS (SELECT field_id, cell_x, unnest(range(y0 - 5, y1 + 6)) AS cell_y FROM c),
+n AS (SELECT g.field_id, cell_x, cell_y, Flow AS v, sqrt(power((cell_x + 0.5e0) * 4 - X, 2) + power((cell_y + 0.5e0) * 4 - Y, 2)) AS d FROM g JOIN p ON g.field_id = p.field_id AND Flow IS NOT NULL)"""
+add("snk7_idw", lambda d: raster.interpolate(d.filter(_ONE), 4, "Flow", "idw").select("field_id", "cell_x", "cell_y", r6("value").alias("value")), f"{_GRID} SELECT field_id, cell_x, cell_y, round(sum(v / (d * d)) / sum(1 / (d * d)), 6) AS value FROM n WHERE d <= 60 GROUP BY 1, 2, 3")
+add("snk7_nearest", lambda d: raster.interpolate(d.filter(_ONE), 4, "Flow", "nearest").select("field_id", "cell_x", "cell_y", "value"), f"{_GRID} SELECT field_id, cell_x, cell_y, first(v ORDER BY d, v) AS value FROM n WHERE d <= 80 GROUP BY 1, 2, 3")
+
+# Pipelines.
+add("pl1_clean_yield", lambda d: cleaning.clean_yield(d, delay_range=(-2, -1, 0, 1, 2), n_iterations=2, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl2_clean_fast", lambda d: cleaning.clean_yield_fast(cleaning.prepare(d, cleaning.CleaningParams(delays=False))[0], gps=True, header=True, null_yield=True).clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")), f"t AS (SELECT *, {_YIELD} AS wet FROM pts WHERE Flow > 0 AND Distance > 0 AND Swath > 0), z AS (SELECT *, wet * (100 - coalesce(Moisture, 15.5e0)) / (100 - 15.5e0) AS dry FROM t) SELECT field_id, row_id, round(dry, 6) AS Yield_kg_ha FROM z WHERE (GPSStatus IS NULL OR GPSStatus >= 4) AND (HeaderStatus IN (0, 1, 33) OR HeaderStatus IS NULL) AND dry > 0")
+add("pl3_deletions_by_step", lambda d: cleaning.clean_yield_with_tracking(d, delays=False, swath_unit="in").by_step())
+add("pl4_polygons", lambda d: cleaning.shapes(d, delays=False, overlap=False, local_sd=False).select("field_id", "orig_row_id", F.round("Heading_deg", 3).alias("heading"), r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl5_older_variant", lambda d: cleaning.ayce_with_yield_conversion(d, delays=False, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
