@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm import textcore as tc
@@ -122,7 +122,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
                 else:
                     top = union[:k]
                     found = np.searchsorted(common, top[-1], side="right")
-                    error = SIGMAS * math.sqrt(t * (1 - t) / len(top))
+                    error = SIGMAS * math.sqrt(t * (1 - t) / len(top) * max(0.0, 1 - len(top) * (1 + t) / (na[i] + nb[i])))
                     close[i] = found / len(top) >= t - error
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(exact)], names=["a", "b", "exact"]).filter(pa.array(close))
 
@@ -133,15 +133,7 @@ def verified(close: DataFrame, docs: DataFrame, n: int, percent: int, scratch: S
     """Rows (a, b) of the pairs that are linked; those not yet exact are compared on full sets."""
     open_pairs = close.filter("NOT exact")
     ids = scratch.keep(open_pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), "ids")
-    wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text").join(small(ids, ids.count()), "did")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tc.row_chunks(batch):
-                doc, key = shingle_sets(tc.Words(part.column("text"), lower=True), n)
-                yield pa.RecordBatch.from_arrays([part.column("did"), _lists(key, np.bincount(doc, minlength=part.num_rows))], names=["did", "shingles"])
-
-    full = scratch.keep(wanted.select("did", "text").mapInArrow(sets, "did long, shingles array<long>"), "sets")
+    full = scratch.keep(full_sets(ids, ids.count(), docs, n), "sets")
     both = open_pairs.join(full.withColumnsRenamed({"did": "a", "shingles": "sa"}), "a").join(full.withColumnsRenamed({"did": "b", "shingles": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +151,73 @@ def verified(close: DataFrame, docs: DataFrame, n: int, percent: int, scratch: S
     return links
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """Members of the lists that hold more than one component."""
+    mixed = members.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value")
+    return members.join(mixed, "value")
+
+
+def shared_across(nodes: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Rows (rep, may): how many shingles of a class a class of another component holds too, among the given (rep, root)."""
+    nodes = scratch.keep(nodes, "nodes")
+    sets = full_sets(nodes.select(F.col("rep").alias("did")), nodes.count(), docs, n).withColumnRenamed("did", "rep")
+    held = scratch.keep(sets.join(nodes, "rep").select("rep", "root", F.explode("shingles").alias("s")).distinct(), "held")
+    cross = held.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("s")
+    cross = scratch.keep(cross, "cross")
+    may = scratch.keep(held.join(cross, "s").groupBy("rep").agg(F.count("*").alias("may")), "may")
+    scratch.drop(held, cross, nodes)
+    return may
+
+
+def full_sets(ids: DataFrame, n_ids: int, docs: DataFrame, n: int) -> DataFrame:
+    """Rows (did, shingles) of the documents with the given ids."""
+    wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text").join(small(ids, n_ids), "did")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tc.row_chunks(batch):
+                doc, key = shingle_sets(tc.Words(part.column("text"), lower=True), n)
+                yield pa.RecordBatch.from_arrays([part.column("did"), _lists(key, np.bincount(doc, minlength=part.num_rows))], names=["did", "shingles"])
+
+    return wanted.select("did", "text").mapInArrow(sets, "did long, shingles array<long>")
+
+
+BIT_WORDS = 16
+
+
+def sketch_bits(classes: DataFrame) -> DataFrame:
+    """Rows (rep, bits): the sketch as a set of 1024 bits, in a struct of longs.  Two differ in no more bits than the sketches in values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketch")
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at = lists.flatten().to_numpy().view(np.uint64) & np.uint64(64 * BIT_WORDS - 1)
+            words = np.zeros((batch.num_rows, BIT_WORDS), np.uint64)
+            np.bitwise_or.at(words, (of, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T))], names=["rep", *(f"b{i}" for i in range(BIT_WORDS))])
+
+    flat = classes.select("rep", "sketch").mapInArrow(run, "rep long, " + ", ".join(f"b{i} long" for i in range(BIT_WORDS)))
+    return flat.select("rep", F.struct(*(f"b{i}" for i in range(BIT_WORDS))).alias("bits"))
+
+
+def bits_apart(a: str, b: str) -> Column:
+    total = F.lit(0)
+    for i in range(BIT_WORDS):
+        total = total + F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}")))
+    return total
+
+
+def most_apart(k: int, percent: int) -> Column:
+    """In how many retained values two linked sketches of sets of na and nb differ, at most: exactly for whole sets, else within the error."""
+    t, both = percent / 100, F.col("na") + F.col("nb")
+    whole = both * (1 - 2 * t / (1 + t))
+    union = both / (1 + t)
+    error = SIGMAS * F.sqrt(t * (1 - t) * k * F.greatest(F.lit(0.0), 1 - k / union))
+    sizes = F.least("na", F.lit(k)) + F.least("nb", F.lit(k))
+    return F.when(F.greatest("na", "nb") <= k, whole).otherwise(sizes - 2 * (t * F.least(F.lit(k), union) - error)) + 1e-9
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Rows (node, root): the component of each class that is linked to another."""
     lists = inverted_lists(classes, k, percent, scratch)
@@ -182,12 +241,17 @@ def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k:
     lists2 = apart.withColumn("may", may)
     span = lists2.groupBy("value").agg(F.min("n_shingles").alias("low"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value", "low")
     members = lists2.join(span, "value").filter(F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9)
-    members = scratch.keep(members.select("value", "rep", "n_shingles", "may", "root"), "members")
-    still = members.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value")
-    members = scratch.keep(members.join(still, "value"), "still")
-    x = members.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra"})
-    y = members.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "may": "mb", "root": "rb"})
-    pairs = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_ok & (F.least("ma", "mb") >= least * (F.col("na") + F.col("nb")) - 1e-9))
+    members = members.select("value", "rep", "n_shingles", "may", "root", "low")
+    members = scratch.keep(_across(members), "across")
+    # On their full sets: what a class shares with other components bounds every link across them.
+    shared = shared_across(members.select("rep", "root").distinct(), docs, n, scratch)
+    enough = F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9
+    members = scratch.keep(_across(members.drop("may").join(shared, "rep").filter(enough)), "still")
+    members = members.join(sketch_bits(classes.join(members.select("rep").distinct(), "rep")), "rep")
+    x = members.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra", "bits": "ba"})
+    y = members.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "may": "mb", "root": "rb", "bits": "bb"})
+    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_ok & (F.least("ma", "mb") >= least * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = x.join(y, (x["value"] == y["value"]) & near & (bits_apart("ba", "bb") <= most_apart(k, percent)))
     pairs = scratch.keep(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     close2 = scratch.keep(close_pairs(pairs, classes, k, percent), "close")
     links2 = verified(close2, docs, n, percent, scratch)
