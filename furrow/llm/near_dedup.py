@@ -34,8 +34,8 @@ from furrow.llm.substring_dedup import NO_ID
 SHINGLE = 5
 PERCENT = 80
 K = 128
-#: Standard errors that an estimate may be off before a pair is lost: less than one link in ten million.
-SIGMAS = 5.5
+#: Standard errors that an estimate may be off before a pair is lost: about one link in three million.
+SIGMAS = 5.0
 
 
 def shingle_sets(w: tc.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +209,18 @@ def bits_apart(a: str, b: str) -> Column:
 
 
 def most_apart(k: int, percent: int) -> Column:
-    """In how many retained values two linked sketches of sets of na and nb differ, at most: exactly for whole sets, else within the error."""
-    t, both = percent / 100, F.col("na") + F.col("nb")
-    whole = both * (1 - 2 * t / (1 + t))
-    union = both / (1 + t)
-    error = SIGMAS * F.sqrt(t * (1 - t) * k * F.greatest(F.lit(0.0), 1 - k / union))
-    sizes = F.least("na", F.lit(k)) + F.least("nb", F.lit(k))
-    return F.when(F.greatest("na", "nb") <= k, whole).otherwise(sizes - 2 * (t * F.least(F.lit(k), union) - error)) + 1e-9
+    """In how many retained values two linked sketches of sets of na and nb differ, at most.
+
+    The common elements that one sketch retains are a draw without return from
+    its set, so their least number is the mean less the error; both retain the lesser.
+    """
+    common = (F.col("na") + F.col("nb")) * percent / (100 + percent)
+
+    def least(n: Column) -> Column:
+        kept, p = F.least(n, F.lit(k)), F.least(F.lit(1.0), common / n)
+        return kept * p - SIGMAS * F.sqrt(kept * p * (1 - p) * (1 - kept / n)) - F.when(n > k, 1).otherwise(0)
+
+    return F.least("na", F.lit(k)) + F.least("nb", F.lit(k)) - 2 * F.least(least(F.col("na")), least(F.col("nb"))) + 1e-9
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
@@ -247,11 +252,14 @@ def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k:
     shared = shared_across(members.select("rep", "root").distinct(), docs, n, scratch)
     enough = F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9
     members = scratch.keep(_across(members.drop("may").join(shared, "rep").filter(enough)), "still")
-    members = members.join(sketch_bits(classes.join(members.select("rep").distinct(), "rep")), "rep")
-    x = members.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra", "bits": "ba"})
-    y = members.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "may": "mb", "root": "rb", "bits": "bb"})
+    tagged = members.join(sketch_bits(classes.join(members.select("rep").distinct(), "rep")), "rep")
+    tagged = tagged.join(members.groupBy("rep").agg(F.sort_array(F.collect_list("value")).alias("lists")), "rep")
+    x = tagged.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra", "bits": "ba", "lists": "la"})
+    y = tagged.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "may": "mb", "root": "rb", "bits": "bb", "lists": "lb"})
     near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_ok & (F.least("ma", "mb") >= least * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = x.join(y, (x["value"] == y["value"]) & near & (bits_apart("ba", "bb") <= most_apart(k, percent)))
+    # A pair is emitted in the first list that both are in, whatever number of lists they share.
+    once = F.array_intersect("la", "lb")[0] == x["value"]
+    pairs = x.join(y, (x["value"] == y["value"]) & near & (bits_apart("ba", "bb") <= most_apart(k, percent)) & once)
     pairs = scratch.keep(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     close2 = scratch.keep(close_pairs(pairs, classes, k, percent), "close")
     links2 = verified(close2, docs, n, percent, scratch)

@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/furrow-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -50,15 +51,16 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
-        return self.spark.read.schema(schema).parquet(path)
+        table = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            for file in table.inputFiles()[:1]:
-                folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-                folder.getFileSystem(conf).delete(folder, True)
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
