@@ -45,7 +45,7 @@ def test_missing_columns_warn_or_stay_silent(spark):
         assert ids(filters.velocity_range(d)) == [1, 2]
         assert ids(filters.gps(d, missing="warn")) == [1, 2]
         assert ids(filters.header(d)) == [1, 2]
-    assert len(seen) == 2
+    assert sum("missing" in str(w.message) for w in seen) == 2
     with pytest.raises(ValueError):
         motion.distances(d)
 
