@@ -26,7 +26,10 @@ from furrow.llm import textcore as tc
 from furrow.llm.lattice import Lattice, Pieces
 from furrow.llm.storage import Scratch
 
+#: Words of the head, at most.
 HEAD_WORDS = 1 << 18
+#: Words are counted by steps of this many to a doubling of their uses; the head is made of whole steps.
+STEPS = 16
 ROUNDS = 2
 SMOOTHING = 0.1
 _CHUNK = 4 << 20
@@ -116,6 +119,16 @@ def word_scores(words: DataFrame, pieces: list[bytes], log_weight: np.ndarray) -
     return words.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, lp double")
 
 
+def hashed(words: DataFrame) -> DataFrame:
+    """Rows (key, c, lp): the words by the hash that ``textcore`` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tc.Words(batch.column("word")).hashes().view(np.int64)), batch.column("c"), batch.column("lp")], names=["key", "c", "lp"])
+
+    return words.select("word", "c", "lp").mapInArrow(run, "key long, c long, lp double")
+
+
 def lm_scores(docs: DataFrame, train: Column, model_file: str, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -137,10 +150,14 @@ def lm_scores(docs: DataFrame, train: Column, model_file: str, head_words: int =
     words = scratch.keep(word_scores(counted, pieces.texts, log_weight), "scored")
     below = float(n_all + 0.1 * (distinct + 1))
 
-    # A fixed number of words; they are looked up by a 64-bit hash of their text.
-    top = words.filter("word <> ''").orderBy(F.desc("n"), "word").limit(head_words).toPandas()
-    texts = pa.array(top["word"], pa.string())
-    keys = tc.Words(texts).hashes()
+    # The most frequent words, a fixed number at most, looked up by a 64-bit hash of their text.
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = sorted(words.filter("word <> ''").groupBy(step.alias("step")).count().collect(), reverse=True)  # a few hundred steps at most
+    upto = np.cumsum([r["count"] for r in sizes])
+    fit_in = int(np.searchsorted(upto, head_words, side="right"))
+    least = sizes[fit_in - 1]["step"] if fit_in else 1 << 30
+    top = hashed(words.filter("word <> ''").filter(step >= least)).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     end = words.filter("word = ''").select("c", "lp").first()
     head = spark.sparkContext.broadcast({"key": keys[order], "c": top["c"].to_numpy(np.float64)[order], "lp": top["lp"].to_numpy(np.float64)[order], "end": (float(end["c"]), float(end["lp"])) if end else (0.0, 0.0)})
