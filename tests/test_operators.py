@@ -97,7 +97,7 @@ def test_trim_both_ends(spark):
 
 
 def test_delay_search_finds_a_planted_shift(spark):
-    xs = [(i % 20) * 2.0 for i in range(400)]
+    xs = [(i % 20 if i // 20 % 2 == 0 else 19 - i % 20) * 2.0 for i in range(400)]  # back and forth
     ys = [(i // 20) * 2.0 for i in range(400)]
     true = [math.sin(x / 6) * math.cos(y / 5) * 10 for x, y in zip(xs, ys)]
     flow = [true[i - 3] if i >= 3 else true[0] for i in range(400)]
