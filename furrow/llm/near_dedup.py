@@ -13,7 +13,8 @@ classes share stay out of the lists unless a class has little else.  What lists
 are long nevertheless hold classes that are near each other.  A first round
 compares each member of a list with one centre, the member with the fewest
 values of its own, and joins what is linked.  A second round compares the
-members that are still apart, if their numbers of shared values allow a link.
+members that are still apart, if the shingles that their full sets share across
+components allow a link.
 """
 
 from __future__ import annotations
@@ -235,23 +236,17 @@ def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k:
     links = verified(close, docs, n, percent, scratch)
     joined = scratch.keep(components(links, scratch), "joined")
 
-    # Members of a list in different components; each must share enough values for a link to some other.
+    # Members of a list in different components.
     apart = lists.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = scratch.keep(apart.select("value", "rep", "n_shingles", "shared", "root"), "apart")
-    kept = F.least("n_shingles", F.lit(k))
-    p = F.col("shared") / kept
-    error = F.when(F.col("n_shingles") <= k, F.lit(0.0)).otherwise(SIGMAS * F.sqrt(F.greatest(p * (1 - p), F.lit(1.0) / k) / k * (1 - k / F.col("n_shingles"))))
-    may = F.least(F.lit(1.0), p + error) * F.col("n_shingles")  # shingles that another class holds, at most
+    apart = scratch.keep(apart.select("value", "rep", "n_shingles", "root"), "apart")
     least = percent / (100 + percent)  # of both sizes that linked sets have in common
-    lists2 = apart.withColumn("may", may)
-    span = lists2.groupBy("value").agg(F.min("n_shingles").alias("low"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value", "low")
-    members = lists2.join(span, "value").filter(F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9)
-    members = members.select("value", "rep", "n_shingles", "may", "root", "low")
-    members = scratch.keep(_across(members), "across")
+    # A partner's sketch may have a lower cut, so the values that sketches share bound nothing here.
+    low = apart.groupBy("value").agg(F.min("n_shingles").alias("low"))
+    members = scratch.keep(_across(apart).join(low, "value"), "across")
     # On their full sets: what a class shares with other components bounds every link across them.
     shared = shared_across(members.select("rep", "root").distinct(), docs, n, scratch)
     enough = F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9
-    members = scratch.keep(_across(members.drop("may").join(shared, "rep").filter(enough)), "still")
+    members = scratch.keep(_across(members.join(shared, "rep").filter(enough)), "still")
     tagged = members.join(sketch_bits(classes.join(members.select("rep").distinct(), "rep")), "rep")
     tagged = tagged.join(members.groupBy("rep").agg(F.sort_array(F.collect_list("value")).alias("lists")), "rep")
     x = tagged.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra", "bits": "ba", "lists": "la"})

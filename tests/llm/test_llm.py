@@ -113,6 +113,19 @@ def test_near_groups_of_many_variants(spark):
     assert {d: r["component_id"] for d, r in got.items()} == root and len(set(root.values())) > 1
 
 
+def test_near_groups_link_a_cut_copy_whose_lists_have_other_centres(spark):
+    """A cut copy of 130 shingles and its source of 152 meet only in lists whose centre is a third document."""
+    texts, common = {}, [[f"o{i}z{j}" for i in range(84)] for j in range(2)]
+    for f in range(10):
+        whole = [f"w{f}x{i}" for i in range(154)]
+        for d, w in enumerate((whole, whole[:132], whole[:68] + common[0], whole[66:132] + common[1])):
+            texts[4 * f + d] = " ".join(w)
+    _, root = groups(texts, 3, 85)
+    got = rows(near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), 3, 85))
+    assert {d: r["component_id"] for d, r in got.items()} == root
+    assert all(root[4 * f + 1] == 4 * f for f in range(10))
+
+
 def test_near_dedup_keeps_one_and_all_columns(docs, empty):
     left = near_dedup.near_dedup(docs)
     assert left.columns == docs.columns
