@@ -6,6 +6,8 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
+from furrow import queries
+from furrow.adapter import yield_points
 from furrow.functions import geo, units
 from furrow.functions.rcompat import no_nan, r_div
 from furrow.operators import anonymize, audit, delay, filters, motion, spatial, thresholds
@@ -220,3 +222,35 @@ def test_anonymise_needs_a_password(spark, monkeypatch):
     monkeypatch.setenv(anonymize.ENV, "p")
     moved, _, report = anonymize.anonymize_yield_data(points(spark, Longitude=[1.0], Latitude=[1.0], Serial=["s"]))
     assert "Serial" not in moved.columns and report["level"] == "high"
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """A folder with a table of parts of two fields, the second with a stray point."""
+    folder = str(tmp_path_factory.mktemp("events"))
+    rows = [(i, (i * 17 % 101) + i / 50, "view") for i in (*range(40, 240), *range(2900, 3100))]
+    spark.createDataFrame(rows, "event_id long, value double, event_type string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def valued(spark, folder):
+    fields = {}
+    for r in yield_points(spark, folder).orderBy("row_id").collect():
+        fields.setdefault(r["field_id"], []).append((r["X"], r["Y"], r["Flow"]))
+    return fields
+
+
+@pytest.mark.parametrize("name", ["snk7_idw", "snk7_nearest"])
+def test_map_queries_cover_all_points_of_all_fields(spark, events, name):
+    want = {}
+    for f, pts in valued(spark, events).items():
+        (x0, x1), (y0, y1) = ((math.floor(min(p[i] for p in pts) / 4), math.floor(max(p[i] for p in pts) / 4)) for i in (0, 1))
+        for a in range(x0 - 5, x1 + 6):
+            for b in range(y0 - 5, y1 + 6):
+                near = [(math.hypot(a * 4 + 2 - x, b * 4 + 2 - y), v) for x, y, v in pts if v is not None]
+                near = [(d, v) for d, v in near if d <= (60 if name == "snk7_idw" else 80)]
+                if near:
+                    want[f, a, b] = sum(v / (d * d) for d, v in near) / sum(1 / (d * d) for d, _ in near) if name == "snk7_idw" else min(near)[1]
+    got = {(r["field_id"], r["cell_x"], r["cell_y"]): r["value"] for r in queries.QUERIES[name](spark, events).collect()}
+    assert got.keys() == want.keys() and {f for f, *_ in got} == {0, 1}
+    assert all(got[c] == pytest.approx(want[c], abs=1e-6) for c in want)
