@@ -218,8 +218,8 @@ near AS (SELECT a.field_id, a.delay, a.i, a.z AS za, b.z AS zb, (b.X - a.X) * (b
 w AS (SELECT field_id, delay, i, za * sum(zb / (d2 + 1e-10)) / sum(1 / (d2 + 1e-10)) AS p FROM near GROUP BY field_id, delay, i, za)"""
 
 
-add("x8_moran", lambda d: delay.delay_scores(d.filter("X < 436000 OR field_id > 0").filter((F.col("row_id") % 1999 != 1000)), [0]).select("field_id", F.round("score", 5).alias("moran")), _moran_sql([0]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, sum(z * z) AS zz FROM z GROUP BY 1) SELECT w.field_id, round(sum(p) / any_value(zz), 5) AS moran FROM w JOIN q USING (field_id) GROUP BY 1")
-add("x9_delay_scores", lambda d: delay.delay_adjustment(d.filter(F.col("row_id") % 1999 != 1000), [-1, 0, 1], 2).scores.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score"), "sd_score"), _moran_sql([-1, 0, 1]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, delay, sum(z * z) AS zz FROM z GROUP BY 1, 2) SELECT w.field_id, w.delay, round(sum(p) / any_value(zz), 5) AS mean_score, 0e0 AS sd_score FROM w JOIN q USING (field_id, delay) GROUP BY 1, 2")
+add("x8_moran", lambda d: delay.delay_scores(d, [0]).select("field_id", F.round("score", 5).alias("moran")), _moran_sql([0]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, sum(z * z) AS zz FROM z GROUP BY 1) SELECT w.field_id, round(sum(p) / any_value(zz), 5) AS moran FROM w JOIN q USING (field_id) GROUP BY 1")
+add("x9_delay_scores", lambda d: delay.delay_adjustment(d, [-1, 0, 1], 2).scores.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score"), "sd_score"), _moran_sql([-1, 0, 1]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, delay, sum(z * z) AS zz FROM z GROUP BY 1, 2) SELECT w.field_id, w.delay, round(sum(p) / any_value(zz), 5) AS mean_score, 0e0 AS sd_score FROM w JOIN q USING (field_id, delay) GROUP BY 1, 2")
 add("x9_best_delay", lambda d: delay.delay_adjustment(d, list(range(-5, 6)), 2).best.select("field_id", "delay", r6("mean_score").alias("mean_score")))
 add("a12_top_delays", lambda d: delay.top_delays(delay.delay_adjustment(d, list(range(-5, 6)), 2)).select("field_id", "delay", "rank", r6("mean_score").alias("mean_score")))
 add("x10_optimize_delays", lambda d: delay.optimize_delays(d, "flow", delays=[-2, 0, 2], n_iterations=2)[0].select(*IDS, r6("Flow").alias("Flow"), "Flow_raw"))

@@ -254,3 +254,24 @@ def test_map_queries_cover_all_points_of_all_fields(spark, events, name):
     got = {(r["field_id"], r["cell_x"], r["cell_y"]): r["value"] for r in queries.QUERIES[name](spark, events).collect()}
     assert got.keys() == want.keys() and {f for f, *_ in got} == {0, 1}
     assert all(got[c] == pytest.approx(want[c], abs=1e-6) for c in want)
+
+
+def moran_by_trying_all(points, delay):
+    """Moran's I of the values ``delay`` rows on, from the sorted distances of every point."""
+    value = [points[i + delay][2] if 0 <= i + delay < len(points) else None for i in range(len(points))]
+    at = [(x, y, v) for (x, y, _), v in zip(points, value) if v is not None]
+    mean = sum(v for *_, v in at) / len(at)
+    k, total = min(10, len(at) // 10), 0
+    for i, (x, y, v) in enumerate(at):
+        near = sorted(((a - x) * (a - x) + (b - y) * (b - y), j) for j, (a, b, _) in enumerate(at) if j != i)[:k]
+        total += (v - mean) * sum((at[j][2] - mean) / (d + 1e-10) for d, j in near) / sum(1 / (d + 1e-10) for d, _ in near)
+    return total / sum((v - mean) ** 2 for *_, v in at)
+
+
+def test_delay_score_queries_keep_stray_points(spark, events):
+    fields = valued(spark, events)
+    assert max(x for x, *_ in fields[1]) > min(x for x, *_ in fields[1]) + 400
+    got = {r["field_id"]: r["moran"] for r in queries.QUERIES["x8_moran"](spark, events).collect()}
+    assert got == {f: pytest.approx(moran_by_trying_all(p, 0), abs=1e-5) for f, p in fields.items()}
+    got = {(r["field_id"], r["delay"]): r["mean_score"] for r in queries.QUERIES["x9_delay_scores"](spark, events).collect()}
+    assert got == {(f, d): pytest.approx(moran_by_trying_all(p, d), abs=1e-5) for f, p in fields.items() for d in (-1, 0, 1)}
