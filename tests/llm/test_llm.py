@@ -295,6 +295,21 @@ def test_decontamination_equals_trying_every_window(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0
 
 
+def test_decontamination_finds_windows_outside_the_fingerprint_radius(spark):
+    """Five short words of forty changed at the end: similarity 0.808, at times beyond the radius."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    item = [word(6) for _ in range(35)] + [word(3) for _ in range(5)]
+    edited = [item[:35] + [word(3) for _ in range(5)] for _ in range(400)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(edited)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    own, its = (df.select(decontamination.simhash(decontamination.words_of(F.col("text"))).alias(n)) for df, n in ((table, "own"), (bench, "its")))
+    assert own.crossJoin(its).filter(F.bit_count(F.col("own").bitwiseXOR(F.col("its"))) > decontamination.RADIUS).count() > 0
+    got = decontamination.leaks(table, bench).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(400))
+    assert all(r["similarity"] == pytest.approx(1054 / 1304) for r in got)
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     rng = random.Random(8)
     a = rng.getrandbits(63)
