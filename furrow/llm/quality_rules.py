@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from furrow.llm import textcore as tc
 
-#: Percent of a document's word characters that duplicated n-grams of this length may cover.
-MAX_GRAM_PERCENT = {5: 60, 8: 55, 12: 50}
+#: Percent of a document's word characters that duplicated n-grams of this length may cover.  Well below
+#: ``MAX_REPEAT_PERCENT``, as a word in a repeated longer window is in a repeated 3-word window too.
+MAX_GRAM_PERCENT = {5: 40, 8: 30, 12: 20}
 #: Percent of a document's word characters that lines equal to an earlier line may cover.
-MAX_LINE_PERCENT = 40
+MAX_LINE_PERCENT = 30
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOL = np.zeros(256, bool)

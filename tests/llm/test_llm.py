@@ -254,6 +254,16 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_boilerplate_that_the_base_keeps(spark):
+    """45 of 100 words in a passage of 15 that is there three times."""
+    passage = [f"p{i:02}" for i in range(15)]
+    own = [f"w{i:02}" for i in range(55)]
+    texts = [passage + own[:20] + passage + own[20:40] + passage + own[40:], own + [f"v{i:02}" for i in range(45)]]
+    got = rows(quality_rules.quality_rules(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")))
+    assert [(got[d]["base_failed"], got[d]["kept"]) for d in (0, 1)] == [(False, False), (False, True)]
+    assert got[0]["dup_chars_12"] == 45 * 3 and got[0]["word_chars"] == 300
+
+
 def test_url_rules_equal_trying_every_rule(spark):
     rules = [url_filter.Rule("block", "net/", "host"), url_filter.Rule("allow", "example.net/en/", "host"), url_filter.Rule("block", "/ads/"), url_filter.Rule("allow", "*ok*"), url_filter.Rule("block", "?id=*&x=")]
     urls = [None, "", "x", "http://Example.NET/en/a?b", "http://a.example.net/en", "http://net/q", "http://xnet/ads/", "ftp://h?u=/ads/", "HTTP://h/ads/ok", "a://b/c?id=1&x=2", "http://net", "http://h/adsx/"]
