@@ -220,9 +220,9 @@ w AS (SELECT field_id, delay, i, za * sum(zb / (d2 + 1e-10)) / sum(1 / (d2 + 1e-
 
 add("x8_moran", lambda d: delay.delay_scores(d, [0]).select("field_id", F.round("score", 5).alias("moran")), _moran_sql([0]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, sum(z * z) AS zz FROM z GROUP BY 1) SELECT w.field_id, round(sum(p) / any_value(zz), 5) AS moran FROM w JOIN q USING (field_id) GROUP BY 1")
 add("x9_delay_scores", lambda d: delay.delay_adjustment(d, [-1, 0, 1], 2).scores.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score"), "sd_score"), _moran_sql([-1, 0, 1]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, delay, sum(z * z) AS zz FROM z GROUP BY 1, 2) SELECT w.field_id, w.delay, round(sum(p) / any_value(zz), 5) AS mean_score, 0e0 AS sd_score FROM w JOIN q USING (field_id, delay) GROUP BY 1, 2")
-add("x9_best_delay", lambda d: delay.delay_adjustment(d, list(range(-5, 6)), 2).best.select("field_id", "delay", r6("mean_score").alias("mean_score")))
-add("a12_top_delays", lambda d: delay.top_delays(delay.delay_adjustment(d, list(range(-5, 6)), 2)).select("field_id", "delay", "rank", r6("mean_score").alias("mean_score")))
-add("x10_optimize_delays", lambda d: delay.optimize_delays(d, "flow", delays=[-2, 0, 2], n_iterations=2)[0].select(*IDS, r6("Flow").alias("Flow"), "Flow_raw"))
+add("x9_best_delay", lambda d: delay.delay_adjustment(d, n_iterations=2).best.select("field_id", "delay", r6("mean_score").alias("mean_score")))
+add("a12_top_delays", lambda d: delay.top_delays(delay.delay_adjustment(d, n_iterations=2)).select("field_id", "delay", "rank", r6("mean_score").alias("mean_score")))
+add("x10_optimize_delays", lambda d: delay.optimize_delays(d, "flow", n_iterations=2)[0].select(*IDS, r6("Flow").alias("Flow"), "Flow_raw"))
 _BREAKS = "[" + ", ".join(f"{i / 49!r}" for i in range(50)) + "]"
 add("x11_coherence", lambda d: spatial.coherence(d.filter("Flow IS NOT NULL")).select("field_id", r6("rsc").alias("rsc")), f"""b AS (SELECT field_id, quantile_cont(X, {_BREAKS}) AS bx, quantile_cont(Y, {_BREAKS}) AS byy, avg(Flow) AS m, var_samp(Flow) AS v FROM pts WHERE Flow IS NOT NULL GROUP BY 1),
 k AS (SELECT field_id, Flow, m, v, len(list_filter(bx, lambda q: q <= X)) AS kx, len(list_filter(byy, lambda q: q <= Y)) AS ky FROM pts JOIN b USING (field_id) WHERE Flow IS NOT NULL),
@@ -250,8 +250,8 @@ add("snk7_idw", lambda d: raster.interpolate(d, 4, "Flow", "idw").select("field_
 add("snk7_nearest", lambda d: raster.interpolate(d, 4, "Flow", "nearest").select("field_id", "cell_x", "cell_y", "value"), f"{_GRID} SELECT field_id, cell_x, cell_y, first(v ORDER BY d, v) AS value FROM n WHERE d <= 80 GROUP BY 1, 2, 3")
 
 # Pipelines.
-add("pl1_clean_yield", lambda d: cleaning.clean_yield(d, delay_range=(-2, -1, 0, 1, 2), n_iterations=2, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl1_clean_yield", lambda d: cleaning.clean_yield(d, n_iterations=2, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
 add("pl2_clean_fast", lambda d: cleaning.clean_yield_fast(cleaning.prepare(d, cleaning.CleaningParams(delays=False))[0], gps=True, header=True, null_yield=True).clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")), f"t AS (SELECT *, {_YIELD} AS wet FROM pts WHERE Flow > 0 AND Distance > 0 AND Swath > 0), z AS (SELECT *, wet * (100 - coalesce(Moisture, 15.5e0)) / (100 - 15.5e0) AS dry FROM t) SELECT field_id, row_id, round(dry, 6) AS Yield_kg_ha FROM z WHERE (GPSStatus IS NULL OR GPSStatus >= 4) AND (HeaderStatus IN (0, 1, 33) OR HeaderStatus IS NULL) AND dry > 0")
-add("pl3_deletions_by_step", lambda d: cleaning.clean_yield_with_tracking(d, delays=False, swath_unit="in").by_step())
-add("pl4_polygons", lambda d: cleaning.shapes(d, delays=False, overlap=False, local_sd=False).select("field_id", "orig_row_id", F.round("Heading_deg", 3).alias("heading"), r6("Yield_kg_ha").alias("Yield_kg_ha")))
-add("pl5_older_variant", lambda d: cleaning.ayce_with_yield_conversion(d, delays=False, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl3_deletions_by_step", lambda d: cleaning.clean_yield_with_tracking(d, swath_unit="in").by_step())
+add("pl4_polygons", lambda d: cleaning.shapes(d, swath_unit="in").select("field_id", "orig_row_id", F.round("Heading_deg", 3).alias("heading"), r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl5_older_variant", lambda d: cleaning.ayce_with_yield_conversion(d, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))

@@ -275,3 +275,19 @@ def test_delay_score_queries_keep_stray_points(spark, events):
     assert got == {f: pytest.approx(moran_by_trying_all(p, 0), abs=1e-5) for f, p in fields.items()}
     got = {(r["field_id"], r["delay"]): r["mean_score"] for r in queries.QUERIES["x9_delay_scores"](spark, events).collect()}
     assert got == {(f, d): pytest.approx(moran_by_trying_all(p, d), abs=1e-5) for f, p in fields.items() for d in (-1, 0, 1)}
+
+
+@pytest.mark.parametrize("name", ["x9_best_delay", "a12_top_delays", "x10_optimize_delays", "pl1_clean_yield", "pl3_deletions_by_step", "pl4_polygons", "pl5_older_variant"])
+def test_delay_queries_search_the_whole_range(spark, events, monkeypatch, name):
+    seen, search = [], delay.delay_scores
+    monkeypatch.setattr(delay, "delay_scores", lambda df, delays, *more: seen.append(delays) or search(df, delays, *more))
+    queries.QUERIES[name](spark, events)
+    assert seen and all(d == list(range(-25, 26)) for d in seen)
+
+
+def test_best_delay_query_finds_a_shift_of_thirteen_rows(spark, tmp_path):
+    at = [(i // 100 * 6, (i % 100 if i // 100 % 2 == 0 else 99 - i % 100) * 2.5) for i in range(600)]
+    true = [100 + 40 * math.sin(x / 9) * math.cos(y / 17) for x, y in at]
+    rows = [(i, true[max(i - 13, 0)], "view") for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert queries.QUERIES["x9_best_delay"](spark, str(tmp_path)).first()["delay"] == 13
