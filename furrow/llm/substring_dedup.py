@@ -134,7 +134,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size:
     hot = scratch.keep(estimated_repeated(rows, merged, depth, width), "hot")
     n_hot = hot.agg(F.coalesce(F.sum(F.size("hot") + 4), F.lit(0))).first()[0]
     scratch.drop(rows, merged)
-    windows = scratch.keep(window_rows(docs.select("did", "th", "text").join(small(hot, n_hot, 2_000_000), ["did", "th"]), window, size), "windows")
+    windows = scratch.keep(window_rows(docs.select("did", "th", "text").join(small(hot, 8 * n_hot), ["did", "th"]), window, size), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("last > first")
     first = scratch.keep(first.select("w1", "w2", "first"), "first")
     later = windows.join(first, ["w1", "w2"]).filter("did > first")
@@ -151,7 +151,8 @@ def cut(docs: DataFrame, runs: DataFrame, digest: bool) -> DataFrame:
     lowercase hex SHA-256 of that.
     """
     given = keyed(docs).select("did", "th", "text", F.col("row.doc_id").alias("doc_id") if digest else F.col("row"))
-    given = given.join(small(runs, runs.count()), ["did", "th"], "left").select(given.columns[3], "text", "starts", "ends")
+    size = runs.agg(F.coalesce(F.sum(48 + 8 * F.size("starts")), F.lit(0))).first()[0]
+    given = given.join(small(runs, size), ["did", "th"], "left").select(given.columns[3], "text", "starts", "ends")
     name = given.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
