@@ -1,20 +1,23 @@
 """MinHash near-dedup by bottom-k sketches of one hash function.
 
 A document is the set of its distinct shingles.  Documents with equal sets form
-a class and are represented by their smallest id.  A sketch keeps the k
-smallest hashes of a set; all of it if it has no more.  Inverted lists of the
-retained values yield the classes that overlap; the union of two sketches
-estimates their Jaccard similarity; pairs within the estimate's error of the
-threshold are verified on full sets.
+a class.  A sketch keeps the k smallest hashes of a set; all of it if it has no
+more.  Inverted lists of the retained values yield the classes that overlap; the
+union of two sketches estimates their Jaccard similarity; pairs within the
+estimate's error of the threshold are verified on full sets.
 
 Overlap is bounded from below for linked sets, so each sketch indexes only as
 many of its values as the bound demands, the rarest first: values that many
-classes share stay out of the lists unless a class has little else.  What lists
-are long nevertheless hold classes that are near each other.  A first round
-compares each member of a list with one centre, the member with the fewest
-values of its own, and joins what is linked.  A second round compares the
-members that are still apart, if the shingles that their full sets share across
-components allow a link.
+classes share stay out of the lists unless a class has little else.  A list that
+is long nevertheless holds classes that are near each other, so its members
+are compared with one centre, and what is linked becomes one component.
+
+Members of a list that are still apart meet again on their full sets.  Only
+shingles that two components hold can be the overlap of a link, so a class
+is indexed by the rarest of these, and only at places from which on it has enough
+of them left for a partner of the list's sizes.  That loses no link between them.
+While these lists are long and links are found, centres are compared first; the pairs
+across components that remain are all compared.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from pyspark.sql import functions as F
 from furrow.llm import textcore as tc
 from furrow.llm.components import components
 from furrow.llm.storage import Scratch, small
-from furrow.llm.substring_dedup import NO_ID
+from furrow.llm.substring_dedup import NO_ID, keyed
 
 SHINGLE = 5
 PERCENT = 80
 K = 128
 #: Standard errors that an estimate may be off before a pair is lost: about one link in three million.
 SIGMAS = 5.0
+#: Lists count as long if their pairs are more than so many times their members.
+LONG = 4
 
 
 def shingle_sets(w: tc.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +66,8 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def sketch_rows(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """Rows (doc_id, did, n_shingles, d1, d2, sketch); (d1, d2) is a digest of the whole set, and the sketch is in order."""
-    given = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
+    """Rows (doc_id, did, th, n_shingles, d1, d2, sketch); (d1, d2) is a digest of the whole set, and the sketch is in order."""
+    given = keyed(docs).select(F.col("row.doc_id").alias("doc_id"), "did", "th", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +81,9 @@ def sketch_rows(docs: DataFrame, n: int, k: int) -> DataFrame:
                     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tc.mix(key * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64)))
                     digest.append(pa.array(tc.mix(run[first[1:]] - run[first[:-1]] + size.astype(np.uint64)).view(np.int64)))
                 keep = np.arange(len(doc)) - first[doc] < k
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(size), *digest, _lists(key[keep], np.minimum(size, k))], names=["doc_id", "did", "n_shingles", "d1", "d2", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size), *digest, _lists(key[keep], np.minimum(size, k))], names=["doc_id", "did", "th", "n_shingles", "d1", "d2", "sketch"])
 
-    return given.mapInArrow(run, f"doc_id {kind}, did long, n_shingles long, d1 long, d2 long, sketch array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, did long, th long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
 def inverted_lists(classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -130,12 +135,24 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long, exact boolean")
 
 
-def verified(close: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Rows (a, b) of the pairs that are linked; those not yet exact are compared on full sets."""
-    open_pairs = close.filter("NOT exact")
-    ids = scratch.keep(open_pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), "ids")
-    full = scratch.keep(full_sets(ids, ids.count(), docs, n), "sets")
-    both = open_pairs.join(full.withColumnsRenamed({"did": "a", "shingles": "sa"}), "a").join(full.withColumnsRenamed({"did": "b", "shingles": "sb"}), "b").select("a", "b", "sa", "sb")
+def full_sets(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Rows (rep, shingles) of the given classes, from the text of their first document."""
+    wanted = keyed(docs).select("did", "th", "text").join(small(classes.select("rep", "copies", "did", "th"), 48 * classes.count()), ["did", "th"])
+    # Only a class of copies can have repeated rows.
+    single, several = (wanted.filter(c).select("rep", "text") for c in ("copies = 1", "copies > 1"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tc.row_chunks(batch):
+                doc, key = shingle_sets(tc.Words(part.column("text"), lower=True), n)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(key, np.bincount(doc, minlength=part.num_rows))], names=["rep", "shingles"])
+
+    return single.unionByName(several.dropDuplicates(["rep"])).mapInArrow(sets, "rep long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b) of the pairs whose full sets are linked."""
+    both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,157 +163,167 @@ def verified(close: DataFrame, docs: DataFrame, n: int, percent: int, scratch: S
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    checked = both.mapInArrow(compare, "a long, b long")
-    links = scratch.keep(close.filter("exact").select("a", "b").unionByName(checked), "links")
-    scratch.drop(ids, full)
-    return links
-
+    return both.mapInArrow(compare, "a long, b long")
 
-def _across(members: DataFrame) -> DataFrame:
-    """Members of the lists that hold more than one component."""
-    mixed = members.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value")
-    return members.join(mixed, "value")
-
-
-def shared_across(nodes: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """Rows (rep, may): how many shingles of a class a class of another component holds too, among the given (rep, root)."""
-    nodes = scratch.keep(nodes, "nodes")
-    sets = full_sets(nodes.select(F.col("rep").alias("did")), nodes.count(), docs, n).withColumnRenamed("did", "rep")
-    held = scratch.keep(sets.join(nodes, "rep").select("rep", "root", F.explode("shingles").alias("s")).distinct(), "held")
-    cross = held.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("s")
-    cross = scratch.keep(cross, "cross")
-    may = scratch.keep(held.join(cross, "s").groupBy("rep").agg(F.count("*").alias("may")), "may")
-    scratch.drop(held, cross, nodes)
-    return may
-
-
-def full_sets(ids: DataFrame, n_ids: int, docs: DataFrame, n: int) -> DataFrame:
-    """Rows (did, shingles) of the documents with the given ids."""
-    wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text").join(small(ids, n_ids), "did")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tc.row_chunks(batch):
-                doc, key = shingle_sets(tc.Words(part.column("text"), lower=True), n)
-                yield pa.RecordBatch.from_arrays([part.column("did"), _lists(key, np.bincount(doc, minlength=part.num_rows))], names=["did", "shingles"])
+def sizes_fit(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
-    return wanted.select("did", "text").mapInArrow(sets, "did long, shingles array<long>")
 
+def enough(left: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether as many common shingles link sets of these sizes."""
+    return (100 + percent) * left >= percent * (na + nb)
 
-BIT_WORDS = 16
 
-
-def sketch_bits(classes: DataFrame) -> DataFrame:
-    """Rows (rep, bits): the sketch as a set of 1024 bits, in a struct of longs.  Two differ in no more bits than the sketches in values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("sketch")
-            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            at = lists.flatten().to_numpy().view(np.uint64) & np.uint64(64 * BIT_WORDS - 1)
-            words = np.zeros((batch.num_rows, BIT_WORDS), np.uint64)
-            np.bitwise_or.at(words, (of, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T))], names=["rep", *(f"b{i}" for i in range(BIT_WORDS))])
-
-    flat = classes.select("rep", "sketch").mapInArrow(run, "rep long, " + ", ".join(f"b{i} long" for i in range(BIT_WORDS)))
-    return flat.select("rep", F.struct(*(f"b{i}" for i in range(BIT_WORDS))).alias("bits"))
+def across(lists: DataFrame) -> DataFrame:
+    """Members of the lists that hold more than one component."""
+    mixed = lists.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value")
+    return lists.join(mixed, "value")
 
 
-def bits_apart(a: str, b: str) -> Column:
-    total = F.lit(0)
-    for i in range(BIT_WORDS):
-        total = total + F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}")))
-    return total
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (rep, ...) with their component as ``root``: itself for a class that is not linked."""
+    named = roots.select(F.col("node").alias("rep"), F.col("root").alias("__root"))
+    return members.join(named, "rep", "left").withColumn("root", F.coalesce("__root", "rep")).drop("__root")
 
 
-def most_apart(k: int, percent: int) -> Column:
-    """In how many retained values two linked sketches of sets of na and nb differ, at most.
+def star_pairs(lists: DataFrame, percent: int, first: Column) -> DataFrame:
+    """Rows (a, b), a < b: each member of a list (value, rep, root, n_shingles, most) and the list's centre.
 
-    The common elements that one sketch retains are a draw without return from
-    its set, so their least number is the mean less the error; both retain the lesser.
+    The centre is the member that comes last in the order of ``first``, the smallest of
+    equals; ``most`` bounds what a member shares with others.
     """
-    common = (F.col("na") + F.col("nb")) * percent / (100 + percent)
-
-    def least(n: Column) -> Column:
-        kept, p = F.least(n, F.lit(k)), F.least(F.lit(1.0), common / n)
-        return kept * p - SIGMAS * F.sqrt(kept * p * (1 - p) * (1 - kept / n)) - F.when(n > k, 1).otherwise(0)
-
-    return F.least("na", F.lit(k)) + F.least("nb", F.lit(k)) - 2 * F.least(least(F.col("na")), least(F.col("nb"))) + 1e-9
+    lists = lists.withColumn("first", first)
+    centre = F.max(F.struct("first", (-F.col("rep")).alias("minus"), "n_shingles", "root", "most")).alias("c")
+    centres = lists.groupBy("value").agg(centre, F.count("*").alias("m")).filter("m > 1")
+    centres = centres.select("value", (-F.col("c.minus")).alias("centre"), F.col("c.n_shingles").alias("nb"), F.col("c.root").alias("rb"), F.col("c.most").alias("mb"))
+    stars = lists.withColumnsRenamed({"n_shingles": "na", "root": "ra"}).join(centres, "value").filter(F.col("ra") != F.col("rb"))
+    stars = stars.filter(sizes_fit(percent) & enough(F.least("most", "mb"), F.col("na"), F.col("nb"), percent))
+    return stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+
+
+def exact_lists(nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows (value, rep, root, n_shingles, most): the index of full sets of nodes (rep, root, n_shingles).
+
+    A link across components is made of shingles that two components hold, here
+    in the order of their frequency among the nodes.  ``most`` is how many of them a
+    class has from this one on; a pair's first common shingle stands where both
+    have enough left, so shingles further back are not indexed.
+    """
+    cells = sets.join(nodes, "rep").select("rep", "root", "n_shingles", F.explode("shingles").alias("value"))
+    shared = cells.groupBy("value").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("value", "df")
+    shared = scratch.keep(shared, "shared")
+    held = cells.join(shared, "value").groupBy("rep", "root", "n_shingles").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("held"))
+    # The smallest partner of n shingles has t * n, and shares all of them.
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    indexed = held.withColumn("n", (F.size("held") - least + 1).cast("int")).filter("n > 0")
+    indexed = indexed.select("rep", "root", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("n"))).alias("place", "x"))
+    lists = scratch.keep(indexed.select("x.value", "rep", "root", "n_shingles", (F.col("size") - F.col("place")).cast("long").alias("most")), "exact")
+    low = lists.groupBy("value").agg(F.min("n_shingles").alias("low"))
+    fits = enough(F.col("most"), F.col("n_shingles"), F.greatest(F.col("low"), F.ceil(F.col("n_shingles") * percent / 100)), percent)
+    kept = scratch.keep(across(lists.join(low, "value").filter(fits).drop("low")), "exact")
+    scratch.drop(shared, lists)
+    return kept
+
+
+def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b), a < b: the members of a list in different components that have enough left to be linked."""
+    x = lists.withColumnsRenamed({"rep": "a", "n_shingles": "na", "root": "ra", "most": "ma"})
+    y = lists.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "root": "rb", "most": "mb"})
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    return x.join(y, "value").filter(apart & sizes_fit(percent) & enough(F.least("ma", "mb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, n: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Rows (node, root): the component of each class that is linked to another."""
     lists = inverted_lists(classes, k, percent, scratch)
-    size_ok = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    centres = lists.groupBy("value").agg(F.max(F.struct("shared", (-F.col("rep")).alias("minus"), "n_shingles")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    centres = scratch.keep(centres.select("value", (-F.col("c.minus")).alias("centre"), F.col("c.n_shingles").alias("nb")), "centres")
-    stars = lists.withColumnRenamed("n_shingles", "na").join(centres, "value").filter("rep <> centre").filter(size_ok)
-    stars = scratch.keep(stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "stars")
+    # What a cut sketch shares bounds nothing, so a member of these lists may share all it has.
+    free = lists.withColumn("root", F.col("rep")).withColumn("most", F.col("n_shingles"))
+    stars = scratch.keep(star_pairs(free, percent, F.col("shared")), "stars")
     close = scratch.keep(close_pairs(stars, classes, k, percent), "close")
-    links = verified(close, docs, n, percent, scratch)
-    joined = scratch.keep(components(links, scratch), "joined")
-
-    # Members of a list in different components.
-    apart = lists.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = scratch.keep(apart.select("value", "rep", "n_shingles", "root"), "apart")
-    least = percent / (100 + percent)  # of both sizes that linked sets have in common
-    # A partner's sketch may have a lower cut, so the values that sketches share bound nothing here.
-    low = apart.groupBy("value").agg(F.min("n_shingles").alias("low"))
-    members = scratch.keep(_across(apart).join(low, "value"), "across")
-    # On their full sets: what a class shares with other components bounds every link across them.
-    shared = shared_across(members.select("rep", "root").distinct(), docs, n, scratch)
-    enough = F.col("may") >= least * (F.col("n_shingles") + F.greatest(F.col("low"), F.col("n_shingles") * percent / 100)) - 1e-9
-    members = scratch.keep(_across(members.join(shared, "rep").filter(enough)), "still")
-    tagged = members.join(sketch_bits(classes.join(members.select("rep").distinct(), "rep")), "rep")
-    tagged = tagged.join(members.groupBy("rep").agg(F.sort_array(F.collect_list("value")).alias("lists")), "rep")
-    x = tagged.withColumnsRenamed({"rep": "a", "n_shingles": "na", "may": "ma", "root": "ra", "bits": "ba", "lists": "la"})
-    y = tagged.withColumnsRenamed({"rep": "b", "n_shingles": "nb", "may": "mb", "root": "rb", "bits": "bb", "lists": "lb"})
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_ok & (F.least("ma", "mb") >= least * (F.col("na") + F.col("nb")) - 1e-9)
-    # A pair is emitted in the first list that both are in, whatever number of lists they share.
-    once = F.array_intersect("la", "lb")[0] == x["value"]
-    pairs = x.join(y, (x["value"] == y["value"]) & near & (bits_apart("ba", "bb") <= most_apart(k, percent)) & once)
-    pairs = scratch.keep(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    close2 = scratch.keep(close_pairs(pairs, classes, k, percent), "close")
-    links2 = verified(close2, docs, n, percent, scratch)
-    # Contract what the first round joined: links between its components are few.
-    root = scratch.keep(joined, "roots")
-    named = links2.join(root.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(root.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-    named = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    last = scratch.keep(components(named.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "joined")
-    scratch.drop(lists, centres, stars, close, close2, links, links2, apart, members, pairs, root)
-    return last
+    unsure = close.filter("NOT exact").select("a", "b")
+    ids = unsure.select(F.col("a").alias("rep")).unionByName(unsure.select(F.col("b").alias("rep"))).distinct()
+    sets = scratch.keep(full_sets(scratch.keep(ids.join(classes.drop("sketch"), "rep"), "ids"), docs, n), "sets")
+    roots = components(close.filter("exact").select("a", "b").unionByName(verified(unsure, sets, percent)), scratch)
+    roots = scratch.keep(roots, "roots")
+    scratch.drop(stars, close, sets)
+
+    nodes = scratch.keep(across(rooted(lists, roots)).select("rep", "root").distinct().join(classes.drop("sketch"), "rep"), "nodes")
+    sets = scratch.keep(full_sets(nodes, docs, n), "sets")
+    exact = exact_lists(nodes.select("rep", "root", "n_shingles"), sets, percent, scratch)
+    scratch.drop(lists, nodes)
+    centres, turn = True, 0
+    while True:
+        members, pairs = exact.groupBy("value").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0))).first()
+        centres = centres and pairs > LONG * members
+        met = star_pairs(exact, percent, F.xxhash64("rep", F.lit(turn)) if turn else F.col("most")) if centres else cross_pairs(exact, percent)
+        met = scratch.keep(met, "pairs")
+        links = scratch.keep(verified(met, sets, percent), "links")
+        n_links = links.count()
+        if n_links:
+            # Contract what is joined: links between components are few.
+            ends = rooted(links.withColumnRenamed("a", "rep"), roots).select(F.col("root").alias("a"), F.col("b").alias("rep"))
+            ends = rooted(ends, roots).select("a", F.col("root").alias("b"))
+            merged = scratch.keep(components(ends.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "roots")
+            scratch.drop(roots)
+            roots = merged
+        scratch.drop(met, links)
+        if not centres:
+            break
+        shorter = scratch.keep(across(rooted(exact.drop("root"), roots)), "exact")
+        scratch.drop(exact)
+        # Centres go on as long as a round links one member in twenty.
+        exact, centres, turn = shorter, 20 * n_links >= members, turn + 1
+    scratch.drop(exact, sets)
+    return roots
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, k: int) -> DataFrame:
+    """Rows (doc_id, did, th, n_shingles, first): ``first`` is (did, th) of the first document of the component, null without words."""
+    scratch = Scratch(docs.sparkSession, "near")
+    sketched = scratch.keep(sketch_rows(docs, n, k), "sketched")
+    classes = sketched.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("did", "th")).alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "key.did", "key.th", "copies", "n_shingles", "sketch"), "classes")
+    members = scratch.keep(sketched.drop("sketch"), "members")
+    scratch.drop(sketched)
+    roots = linked_classes(classes, docs, n, percent, k, scratch)
+    named = rooted(classes.select("rep", "d1", "d2", F.struct("did", "th").alias("key")), roots)
+    linked = scratch.keep(roots.join(classes.select(F.col("rep").alias("node"), "did", "th"), "node").groupBy("root").agg(F.min(F.struct("did", "th")).alias("least")), "least")
+    named = scratch.keep(named.join(linked, "root", "left").select("d1", "d2", F.coalesce("least", "key").alias("first")), "named")
+    scratch.drop(classes, linked)
+    return members.join(named, ["d1", "d2"], "left").select("doc_id", "did", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept) of every document.
+    """Rows (doc_id, n_shingles, component_id, kept) of every row of the documents.
 
     A-Z are lower-cased.  A text of fewer words than a shingle is one shingle; one
     without words, empty or null, has none and is linked with nothing.
     Documents with 100 * intersection >= percent * union are linked;
-    ``component_id`` is the smallest id reachable.  Rows that share an id are one
-    document to the links; a null id counts as the largest and is given as null.
-    Repeated rows give repeated rows; other columns are left out.
+    ``component_id`` is the smallest id reachable, the document's own included;
+    ``kept``: it is the document's own.  A null id counts as larger than any other
+    and is given as null.  Rows that share an id, null or not, are documents of their own;
+    repeated rows give repeated rows; an empty table gives none.  Other columns are left out.
     """
-    scratch = Scratch(docs.sparkSession, "near")
-    sketched = scratch.keep(sketch_rows(docs, n, k), "sketched")
-    classes = sketched.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("did").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = scratch.keep(classes, "classes")
-    members = scratch.keep(sketched.drop("sketch"), "members")
-    scratch.drop(sketched)
-    root = linked_classes(classes, docs, n, percent, k, scratch).withColumnsRenamed({"node": "rep"})
-    named = scratch.keep(classes.select("d1", "d2", "rep").join(root, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")), "named")
-    scratch.drop(classes)
-    out = members.join(named, ["d1", "d2"], "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("did")))
-    component = F.when(F.col("root") == NO_ID, F.lit(None)).otherwise(F.col("root"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("did") == F.col("root")).alias("kept"))
+    own = _grouped(docs, n, percent, k).withColumn("root", F.coalesce("first.did", "did"))
+    component = F.when(F.col("root") != NO_ID, F.col("root"))
+    return own.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("did") == F.col("root")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, that have the smallest id of their group.
+    """One document, with all its columns, of each group: that of the smallest id; null ids count as the largest.
 
-    Rows that share an id stay or go together; texts without words stay.
+    Of several texts with that id, the one of the smallest hash stays; of repeated
+    rows, one, whichever if their other columns differ.  Texts without words all stay.
     """
-    groups = near_groups(docs.select("doc_id", "text"), n, percent)
     scratch = Scratch(docs.sparkSession, "gone")
-    gone = scratch.keep(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "ids")
-    return docs.join(small(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    own = scratch.keep(_grouped(docs.select("doc_id", "text"), n, percent, K).filter("n_shingles > 0").groupBy("did", "th", "first").agg(F.count("*").alias("n")), "own")
+    gone = scratch.keep(own.filter((F.col("first.did") != F.col("did")) | (F.col("first.th") != F.col("th"))).select("did", "th"), "gone")
+    again = scratch.keep(own.filter((F.col("first.did") == F.col("did")) & (F.col("first.th") == F.col("th")) & (F.col("n") > 1)).select("did", "th"), "again")
+    scratch.drop(own)
+    left = keyed(docs).drop("text").join(small(gone, 16 * gone.count()), ["did", "th"], "left_anti")
+    n_again = again.count()
+    if n_again:
+        once, more = (left.join(small(again, 16 * n_again), ["did", "th"], how) for how in ("left_anti", "left_semi"))
+        left = once.unionByName(more.dropDuplicates(["did", "th"]))
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
