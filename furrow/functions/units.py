@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,18 @@ def imperial_to_metric(df: DataFrame) -> DataFrame:
 
 def standard_moisture(df: DataFrame) -> DataFrame:
     """One row for each field: corn before soy before wheat, whatever grain any point names; else corn's."""
+    return df.groupBy(*order.keys(df)).agg(_standard_moisture(lambda c: c).alias("standard_moisture"))
+
+
+def standard_moisture_of_field(df: DataFrame) -> Column:
+    """The same as a window over each field; corn's if no grain is named."""
+    return _standard_moisture(lambda c: c.over(order.whole(df))) if has(df, "GrainType") else F.lit(15.5)
+
+
+def _standard_moisture(over: Callable[[Column], Column]) -> Column:
     crop = F.lower("GrainType")
-    held = lambda p: F.coalesce(F.max(crop.rlike(p)), F.lit(False))
-    value = F.when(held("corn|maize|mais"), 15.5).when(held("soy|soja"), 13.0).when(held("wheat|bl[eé]|barley|orge|oat|avoine"), 13.5).otherwise(15.5)
-    return df.groupBy(*order.keys(df)).agg(value.alias("standard_moisture"))
+    held = lambda p: F.coalesce(over(F.max(crop.rlike(p))), F.lit(False))
+    return F.when(held("corn|maize|mais"), 15.5).when(held("soy|soja"), 13.0).when(held("wheat|bl[eé]|barley|orge|oat|avoine"), 13.5).otherwise(15.5)
 
 
 def pounds_per_bushel(grain: Column) -> Column:
@@ -58,11 +68,22 @@ def flow_to_yield(df: DataFrame, force: bool = False) -> DataFrame:
     if not need(df, "warn", "Flow", "Distance", "Swath", "Interval"):
         return df
     columns = [c for c in df.columns if c != "Yield_kg_ha"]
-    df = df.withColumn("__m", mean(df, "Flow")).withColumn("__direct", F.coalesce((F.col("__m") > 100) & (F.col("__m") < 50_000), F.lit(False)))
-    df = df.filter(F.col("__direct") | ((F.col("Distance") > 0) & (F.col("Swath") > 0) & (F.col("Flow") > 0)))
-    df = df.withColumn("__kg", F.when(mean(df, "Flow") < 0.5, F.col("Flow")).otherwise(F.col("Flow") * LB))
-    value = F.when(F.col("__direct"), F.col("Flow")).otherwise(r_div(F.col("__kg") * F.col("Interval"), F.col("Swath") * F.col("Distance")) * 10_000)
-    return df.withColumn("Yield_kg_ha", value).select(*columns, "Yield_kg_ha")
+    df, usable = usable_flow(df)
+    df = df.filter(usable)
+    return df.withColumn("Yield_kg_ha", yield_of_flow(df)).select(*columns, "Yield_kg_ha")
+
+
+def usable_flow(df: DataFrame) -> tuple[DataFrame, Column]:
+    """The points with ``__direct``, whether their field's flow is kg/ha, and the condition for a yield."""
+    m = mean(df, "Flow")
+    df = df.withColumn("__m", m).withColumn("__direct", F.coalesce((F.col("__m") > 100) & (F.col("__m") < 50_000), F.lit(False))).drop("__m")
+    return df, F.col("__direct") | ((F.col("Distance") > 0) & (F.col("Swath") > 0) & (F.col("Flow") > 0))
+
+
+def yield_of_flow(df: DataFrame) -> Column:
+    """Yield in kg/ha of usable points with ``__direct``."""
+    kg = F.when(mean(df, "Flow") < 0.5, F.col("Flow")).otherwise(F.col("Flow") * LB)
+    return F.when(F.col("__direct"), F.col("Flow")).otherwise(r_div(kg * F.col("Interval"), F.col("Swath") * F.col("Distance")) * 10_000)
 
 
 def flow_simple(df: DataFrame) -> DataFrame:

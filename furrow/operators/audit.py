@@ -73,6 +73,15 @@ def pass_medians(df: DataFrame, limit: float = 2.5) -> DataFrame:
     return per_pass.withColumn("abnormal", F.coalesce(far, F.lit(False)))
 
 
+def abnormal_passes(df: DataFrame, limit: float = 2.5) -> DataFrame:
+    """Adds ``__abnormal``: the point is in such a pass; false without a pass."""
+    in_pass, field = order.whole(df, "Pass"), order.whole(df)
+    df = df.withColumns({"__median": F.when(F.col("Pass").isNotNull(), F.percentile("Yield_kg_ha", 0.5).over(in_pass)), "__place": F.row_number().over(in_pass.orderBy("row_id"))})
+    once = F.when(F.col("__place") == 1, F.col("__median"))  # one value a pass
+    far = F.abs(F.col("__median") - F.percentile(once, 0.5).over(field)) > limit * F.stddev_samp(once).over(field)
+    return df.withColumn("__abnormal", F.coalesce(far, F.lit(False))).drop("__median", "__place")
+
+
 def pass_filter(df: DataFrame, limit: float = 2.5) -> DataFrame:
     bad = pass_medians(df, limit).filter("abnormal").select(*order.keys(df), "Pass")
     return df.join(bad, [*order.keys(df), "Pass"], "left_anti")

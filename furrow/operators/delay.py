@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from furrow.functions.rcompat import has, need
 from furrow.operators import order
 
-MAX_NEIGHBOURS, MAX_MORAN_POINTS, MIN_VALID = 10, 3000, 50
+MAX_NEIGHBOURS, MIN_VALID = 10, 50
 _NEAR = 1e-10
 
 
@@ -72,78 +72,114 @@ def trim_passes(df: DataFrame, delay: float) -> DataFrame:
     return (df.filter(keep | keep.isNull()) if delay else df).drop("__run", "__total")
 
 
-def grid_sample(df: DataFrame, max_points: int = 10_000, cellsize: float = 100, seed: int = 42) -> DataFrame:
-    """Whole cells in the order of a hash, as long as a field's points do not exceed the maximum; all points if not even one cell fits."""
+def grid_sample(df: DataFrame, max_points: int = 10_000, cellsize: float = 100, seed: int | Column = 42) -> DataFrame:
+    """Whole cells in the order of a hash, as long as a field's points do not exceed the maximum; all points if not even one cell fits.
+
+    ``seed`` may be a column ``iter``: each of its values is sampled on its own.
+    """
     cell = {"__cx": F.floor(F.col("X") / cellsize), "__cy": F.floor(F.col("Y") / cellsize)}
-    df, on = df.withColumns(cell), order.keys(df)
-    cells = df.groupBy(*on, "__cx", "__cy").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*on).orderBy(F.xxhash64("__cx", "__cy", F.lit(seed)), "__cx", "__cy")
-    cells = cells.withColumn("upto", F.sum("n").over(w)).withColumn("least", F.min("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = cells.withColumn("any", F.max((F.col("upto") <= max_points).cast("int")).over(Window.partitionBy(*on)))
-    chosen = cells.filter((F.col("upto") <= max_points) | (F.col("any") == 0)).select(*on, "__cx", "__cy")
-    return df.join(chosen, [*on, "__cx", "__cy"], "left_semi").drop("__cx", "__cy")
-
-
-def moran(x: np.ndarray, y: np.ndarray, value: np.ndarray, k: int) -> float:
-    """Moran's I with inverse squared distances to the k nearest points, ties by order; 0 where it has no meaning."""
-    ok = ~(np.isnan(x) | np.isnan(y) | np.isnan(value))
-    x, y, value = x[ok], y[ok], value[ok]
-    if len(value) > MAX_MORAN_POINTS:
-        some = np.sort(np.random.default_rng(42).choice(len(value), MAX_MORAN_POINTS, replace=False))
-        x, y, value = x[some], y[some], value[some]
-    n = len(value)
-    if n < k + 5 or len(np.unique(x)) < 3 or len(np.unique(y)) < 3:
-        return 0.0
-    sd = value.std(ddof=1)
-    if not sd > 0:
-        return 0.0
-    z = (value - value.mean()) / sd
-    total = 0.0
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    columns, df = df.columns, df.withColumns(cell).withColumn("__h", F.xxhash64("__cx", "__cy", seed))
+    field = order.whole(df, "iter")
+    # All points of a cell are peers, so a running count takes in whole cells.
+    df = df.withColumn("__upto", F.count("*").over(field.orderBy("__h", "__cx", "__cy")))
+    df = df.withColumn("__least", F.min("__upto").over(field))
+    return df.filter((F.col("__upto") <= max_points) | (F.col("__least") > max_points)).select(*columns)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and indices of many nearest points of each point in order, ties by index; infinite where that order is not sure."""
+    n = len(x)
+    many = min(many, n - 1)
+    dist, near = np.empty((n, many)), np.empty((n, many), np.int64)
     for a in range(0, n, 500):
-        d = (x[a : a + 500, None] - x) * (x[a : a + 500, None] - x) + (y[a : a + 500, None] - y) * (y[a : a + 500, None] - y)
+        dx, dy = x[a : a + 500, None] - x, y[a : a + 500, None] - y
+        d = dx * dx + dy * dy
         d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-        # The k smallest, the first of equals: a cut by value, then a stable sort of the few that remain.
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        for i in range(len(d)):
-            near = np.flatnonzero(d[i] <= cut[i])
-            near = near[np.argsort(d[i, near], kind="stable")[:k]]
-            w = 1 / (d[i, near] + _NEAR)
-            total += z[a + i] * float((w * z[near]).sum()) / float(w.sum())
-    return total / float((z * z).sum())
-
-
-def delay_scores(df: DataFrame, delays: list[int], column: str = "Flow", iteration: int = 1) -> DataFrame:
+        at = np.sort(np.argpartition(d, many - 1, axis=1)[:, :many], axis=1)
+        own = np.take_along_axis(d, at, axis=1)
+        by = np.argsort(own, axis=1, kind="stable")
+        own = np.take_along_axis(own, by, axis=1)
+        # Of points as far as the last one, some may have been left out.
+        if many < n - 1:
+            own[own == own[:, -1:]] = np.inf
+        dist[a : a + 500], near[a : a + 500] = own, np.take_along_axis(at, by, axis=1)
+    return dist, near
+
+
+class Places:
+    """The points of a field, whose neighbours serve the scores of all delays."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        self.dist, self.near = _nearest(x, y, 4 * MAX_NEIGHBOURS) if len(x) > 1 else (np.empty((len(x), 0)), np.empty((len(x), 0), np.int64))
+
+    def moran(self, value: np.ndarray, k: int) -> float:
+        """Moran's I of the points with a value, with inverse squared distances to the k nearest such points, ties by order; 0 where it has no meaning."""
+        ok = ~np.isnan(value)
+        some, n = np.flatnonzero(ok), int(ok.sum())
+        if n < k + 5 or len(np.unique(self.x[ok])) < 3 or len(np.unique(self.y[ok])) < 3:
+            return 0.0
+        sd = value[ok].std(ddof=1)
+        if not sd > 0:
+            return 0.0
+        z = np.where(ok, (value - value[ok].mean()) / sd, 0.0)
+        usable = ok[self.near] & np.isfinite(self.dist)
+        rank = np.cumsum(usable, axis=1)
+        take = usable & (rank <= k)
+        w = np.where(take, 1 / (np.where(take, self.dist, 1.0) + _NEAR), 0.0)
+        with np.errstate(invalid="ignore"):
+            part = z * (w * z[self.near]).sum(axis=1) / w.sum(axis=1)
+        found = rank[:, -1] >= k if rank.shape[1] else np.zeros(len(value), bool)
+        # The few points that have too many neighbours without a value look at all points.
+        rest = np.flatnonzero(ok & ~found)
+        for a in range(0, len(rest), 500):
+            i = rest[a : a + 500]
+            dx, dy = self.x[i, None] - self.x[some], self.y[i, None] - self.y[some]
+            d = dx * dx + dy * dy
+            d[i[:, None] == some] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            own = 1 / (np.take_along_axis(d, near, axis=1) + _NEAR)
+            part[i] = z[i] * (own * z[some[near]]).sum(axis=1) / own.sum(axis=1)
+        return float(part[ok].sum()) / float((z * z).sum())
+
+
+def delay_scores(df: DataFrame, delays: list[int], column: str = "Flow") -> DataFrame:
     """Rows (field_id, delay, iter, score): Moran's I of the shifted values; null for fifty valid rows or fewer.
 
-    A field is one group.  Its points are bounded by the sample that is taken
-    before, so no group grows with the table.
+    A field, or one ``iter`` of its points where the table has that column, is one
+    group: its points are bounded by the sample that is taken before.
     """
     on = order.keys(df)
-    given = df.select(*on, "row_id", "X", "Y", F.col(column).cast("double").alias("v"))
+    turn = F.col("iter") if has(df, "iter") else F.lit(1).alias("iter")
+    given = df.select(*on, turn, "row_id", F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"), F.col(column).cast("double").alias("v"))
+    by = [*on, "iter"]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields if f.name in on), "delay int, iter int, score double"])
 
     def score(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values("row_id")
+        # The row that a value moves from, before points without a place go.
+        placed = np.flatnonzero((points["X"].notna() & points["Y"].notna()).to_numpy())
+        v = points["v"].to_numpy()
+        places = Places(points["X"].to_numpy()[placed], points["Y"].to_numpy()[placed])
         rows = []
         for d in delays:
-            v = points["v"].shift(-d).to_numpy()
-            x, y = points["X"].to_numpy(), points["Y"].to_numpy()
-            valid = ~(np.isnan(v) | np.isnan(x) | np.isnan(y))
-            n = int(valid.sum())
-            k = min(MAX_NEIGHBOURS, n // 10)
-            rows.append((*key, d, iteration, moran(x[valid], y[valid], v[valid], k) if n > MIN_VALID else None))
+            source = placed + d
+            moved = np.where((source >= 0) & (source < len(v)), v[np.clip(source, 0, max(len(v) - 1, 0))], np.nan) if len(v) else v
+            n = int((~np.isnan(moved)).sum())
+            rows.append((*key[:-1], d, key[-1], places.moran(moved, min(MAX_NEIGHBOURS, n // 10)) if n > MIN_VALID else None))
         return pd.DataFrame(rows, columns=[*on, "delay", "iter", "score"])
 
-    grouped = given.groupBy(*on) if on else given.groupBy(F.lit(1).alias("__one"))
-    return grouped.applyInPandas(score if on else lambda key, p: score((), p), schema)
+    return given.groupBy(*by).applyInPandas(score, schema)
 
 
 @dataclass
 class DelayResult:
-    """``scores``: (field_id, delay, mean_score, sd_score); ``best``: (field_id, delay, mean_score, stability)."""
+    """``scores``: (field_id, delay, mean_score, sd_score); ``best``: (field_id, delay, mean_score, stability); the delays tried."""
 
     scores: DataFrame
     best: DataFrame
+    delays: list[int]
 
 
 def delay_adjustment(df: DataFrame, delays: list[int] | None = None, n_iterations: int = 5, column: str = "Flow", max_points: int = 10_000) -> DelayResult:
@@ -157,19 +193,18 @@ def delay_adjustment(df: DataFrame, delays: list[int] | None = None, n_iteration
     if not has(df, column, "X", "Y"):
         warnings.warn("columns for the delay search are missing; the delay is 0", stacklevel=2)
         none = df.limit(0).select(*on, F.lit(0).alias("delay"), F.lit(0.0).alias("mean_score"), F.lit(0.0).alias("sd_score"), F.lit(0.0).alias("stability"))
-        return DelayResult(none.drop("stability"), none.drop("sd_score"))
-    size = F.count("*").over(order.whole(df))
-    sized = df.withColumn("__size", size)
-    scores = delay_scores(sized.filter(F.col("__size") <= max_points), delays, column)
-    large = sized.filter(F.col("__size") > max_points)
-    for i in range(1, n_iterations + 1):
-        scores = scores.unionByName(delay_scores(grid_sample(large, max_points, 100, i * 100), delays, column, i))
+        return DelayResult(none.drop("stability"), none.drop("sd_score"), delays)
+    large = F.count("*").over(order.whole(df)) > max_points
+    turns = df.select(*on, "row_id", "X", "Y", column).withColumn("__large", large)
+    turns = turns.withColumn("iter", F.explode(F.when(F.col("__large"), F.sequence(F.lit(1), F.lit(n_iterations))).otherwise(F.array(F.lit(1)))))
+    scores = delay_scores(grid_sample(turns, max_points, 100, F.col("iter") * 100), delays, column)
     sd = F.coalesce(F.stddev_samp("score"), F.lit(0.0) if n_iterations > 1 else F.lit(None).cast("double"))
     per_delay = scores.groupBy(*on, "delay").agg(F.avg("score").alias("mean_score"), sd.alias("sd_score"))
-    w = Window.partitionBy(*on).orderBy(F.desc_nulls_last("mean_score"), "delay")
-    best = per_delay.withColumn("r", F.row_number().over(w)).filter("r = 1").withColumn("delay", F.when(F.col("mean_score").isNull(), 0).otherwise(F.col("delay")))
-    best = best.select(*on, "delay", "mean_score", F.when(F.col("mean_score") != 0, F.col("sd_score") / F.col("mean_score")).alias("stability"))
-    return DelayResult(per_delay, best)
+    # The highest score, then the smallest delay; a field without scores has the delay 0.
+    best = per_delay.groupBy(*on).agg(F.max(F.when(F.col("mean_score").isNotNull(), F.struct("mean_score", (-F.col("delay")).alias("minus"), "sd_score"))).alias("b"))
+    stability = F.when(F.col("b.mean_score") != 0, F.col("b.sd_score") / F.col("b.mean_score"))
+    best = best.select(*on, F.coalesce(-F.col("b.minus"), F.lit(0)).alias("delay"), "b.mean_score", stability.alias("stability"))
+    return DelayResult(per_delay, best, delays)
 
 
 def top_delays(result: DelayResult, n: int = 5) -> DataFrame:
@@ -178,15 +213,18 @@ def top_delays(result: DelayResult, n: int = 5) -> DataFrame:
     return result.scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def shift_by_field(df: DataFrame, best: DataFrame, column: str, edges: bool = True) -> DataFrame:
-    """Shifts each field by its own delay, without a driver round trip, and fills the gaps."""
+def shift_by_field(df: DataFrame, found: DelayResult, column: str, edges: bool = True) -> DataFrame:
+    """Shifts each field by its own delay, without a driver round trip, and fills the gaps; adds ``<column>_raw`` and ``<column>_delay``.
+
+    The delays tried are few, so each is a window expression, and all share one sort.
+    """
     on = order.keys(df)
-    numbered = df.withColumn("__n", F.row_number().over(order.by_row(df)))
-    delay = best.select(*on, F.col("delay").alias("__d"))
-    numbered = numbered.join(delay, on, "left") if on else numbered.crossJoin(F.broadcast(delay))
-    source = numbered.select(*on, (F.col("__n") - F.coalesce("__d", F.lit(0))).alias("__n"), F.col(column).alias("__new"))
-    out = numbered.withColumn(f"{column}_raw", F.col(column)).join(source, [*on, "__n"], "left").withColumn(column, F.col("__new"))
-    return interpolate(out.drop("__n", "__d", "__new"), column, edges)
+    delay = found.best.select(*on, F.col("delay").alias(f"{column}_delay"))
+    df = df.join(delay, on, "left") if on else df.crossJoin(F.broadcast(delay))
+    tried = {d: shifted(df, column, d) for d in found.delays}
+    chosen = F.coalesce(f"{column}_delay", F.lit(0))
+    value = F.coalesce(*(F.when(chosen == d, v) for d, v in tried.items()), F.when(~chosen.isin(*tried), F.col(column)))
+    return interpolate(df.withColumn(f"{column}_raw", F.col(column)).withColumn(column, value), column, edges)
 
 
 def optimize_delays(df: DataFrame, types: str = "both", method: str = "delay_adjustment", delays: list[int] | None = None, n_iterations: int = 10, apply_correction: bool = True) -> tuple[DataFrame, dict[str, DelayResult]]:
@@ -198,5 +236,5 @@ def optimize_delays(df: DataFrame, types: str = "both", method: str = "delay_adj
         if types in (name, "both") and need(df, "warn", column):
             found[name] = delay_adjustment(df, delays, n_iterations, column)
             if apply_correction:
-                df = shift_by_field(df, found[name].best, column)
+                df = shift_by_field(df, found[name], column)
     return df, found

@@ -1,5 +1,8 @@
 """Window specifications: every one is partitioned by the field, if there is a ``field_id``.
 
+Pipelines mark the points that a step removes instead of dropping them; windows and
+joins of later steps then take the points that are still there, and those that are not, apart.
+
 A field holds tens of thousands of points, so its partition is small; a table
 of many fields scales by their number.
 """
@@ -8,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 
+#: Whether a point is still there, in pipelines.
+ALIVE = "__alive"
+
 
 def keys(df: DataFrame, *more: str) -> list[str]:
-    return [c for c in ("field_id", *more) if c in df.columns]
+    return [c for c in ("field_id", ALIVE, *more) if c in df.columns]
 
 
 def whole(df: DataFrame, *more: str) -> WindowSpec:

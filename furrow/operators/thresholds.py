@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,31 +17,44 @@ def join_fields(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.join(rows, on) if on else df.crossJoin(F.broadcast(rows))
 
 
-def _bounds(value: Column, low: float, high: float, scale: float) -> tuple[Column, Column]:
-    a, b = F.percentile(value, low), F.percentile(value, high)
+def _same(aggregate: Column) -> Column:
+    return aggregate
+
+
+def _bounds(value: Column, low: float, high: float, scale: float, over: Callable[[Column], Column] = _same) -> tuple[Column, Column]:
+    a, b = over(F.percentile(value, low)), over(F.percentile(value, high))
     return a - scale * (b - a), b + scale * (b - a)
 
 
+def yield_bounds(df: DataFrame, low: float, high: float, scale: float, least: float, over: Callable[[Column], Column] = _same) -> dict[str, Column]:
+    """``min_yield`` and ``max_yield`` as aggregates, or as windows; none without a column of yield or flow."""
+    column = first_of(df, "Yield_kg_ha", "Yield_buacre", "Flow")
+    if not column:
+        return {}
+    y = only_finite(F.col(column))
+    a, b = _bounds(y, low, high, scale, over)
+    enough = over(F.count(y)) > 10
+    return {"min_yield": F.when(enough, F.greatest(F.lit(float(least)), a)).otherwise(float(least)), "max_yield": F.when(enough, b).otherwise(300.0)}
+
+
+def velocity_bounds(low: float, high: float, scale: float, least: float, over: Callable[[Column], Column] = _same) -> dict[str, Column]:
+    """``min_velocity`` and ``max_velocity`` of a column ``velocity``, as aggregates or as windows."""
+    a, b = _bounds(F.col("velocity"), low, high, scale, over)
+    enough = over(F.count("velocity")) > 10
+    return {"min_velocity": F.when(enough, F.greatest(F.lit(float(least)), a)).otherwise(float(least)), "max_velocity": F.when(enough, b).otherwise(15.0)}
+
+
 def auto_thresholds(df: DataFrame, yllim: float = 0.05, yulim: float = 0.95, yscale: float = 1.5, vllim: float = 0.02, vulim: float = 0.98, vscale: float = 1.5, minv_abs: float = 0.5, miny_abs: float = 0, gbuffer: float = 100) -> DataFrame:
     """min/max of yield, velocity, X and Y; the position box reaches outward by the buffer.
 
     Yield bounds of ten finite values or fewer are (miny_abs, 300); velocity
     bounds (minv_abs, 15).
     """
-    out: dict[str, Column] = {}
-    column = first_of(df, "Yield_kg_ha", "Yield_buacre", "Flow")
-    if column:
-        y = only_finite(F.col(column))
-        low, high = _bounds(y, yllim, yulim, yscale)
-        enough = F.count(y) > 10
-        out |= {"min_yield": F.when(enough, F.greatest(F.lit(float(miny_abs)), low)).otherwise(float(miny_abs)), "max_yield": F.when(enough, high).otherwise(300.0)}
+    out = yield_bounds(df, yllim, yulim, yscale, miny_abs)
     if has(df, "X", "Y", "Interval") or has(df, "velocity"):
         if not has(df, "velocity"):
             df = df.withColumn("velocity", motion.velocity(df))
-        v = F.col("velocity")
-        low, high = _bounds(v, vllim, vulim, vscale)
-        enough = F.count(v) > 10
-        out |= {"min_velocity": F.when(enough, F.greatest(F.lit(float(minv_abs)), low)).otherwise(float(minv_abs)), "max_velocity": F.when(enough, high).otherwise(15.0)}
+        out |= velocity_bounds(vllim, vulim, vscale, minv_abs)
     if has(df, "X", "Y"):
         for c in ("X", "Y"):
             out |= {f"min_{c.lower()}": F.percentile(c, 0.02) - gbuffer, f"max_{c.lower()}": F.percentile(c, 0.98) + gbuffer}

@@ -1,8 +1,9 @@
 """Cleaning pipelines: ordered steps over fields, with a log of what each removes.
 
-Filters change a point's neighbours, so velocities and windows are taken anew after each; the
-steps still form one lazy plan on the exchange by field.  The
-delay of each field is joined to its points, so no value returns to the driver.
+Filters change a point's neighbours, so velocities and windows are taken anew after each.  A
+step does not drop points but marks them with its name, and the windows of later steps are
+partitioned by whether a point is marked: one pass over the fields gives both what is clean and
+the log.  The delay of each field is joined to its points, so no value returns to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import geo, units
-from furrow.functions.rcompat import has, no_nan
+from furrow.functions.rcompat import has, need, no_nan
 from furrow.operators import audit, delay, filters, motion, order, spatial, thresholds
 from furrow.sources.text import read_yield_data
 
@@ -64,14 +65,28 @@ class CleaningParams:
 
 @dataclass
 class CleanResult:
-    """Clean points, the log of deletions, their sums by step, and the comparison of before and after."""
+    """Clean points, the log of deletions, their sums by step, and the comparison of before and after.
 
-    clean: DataFrame
+    ``marked`` holds every point with the step that removed it; persist it if
+    several of the others are wanted.
+    """
+
+    marked: DataFrame
     raw: DataFrame
-    deletions: DataFrame
     delays: DataFrame | None = None
     params: CleaningParams = field(default_factory=CleaningParams)
 
+    @property
+    def clean(self) -> DataFrame:
+        kept = self.marked.filter("__step IS NULL").drop("__step", "__value", "Flow_delay")
+        return kept.orderBy(*order.keys(kept), "GPS_Time", "row_id")
+
+    @property
+    def deletions(self) -> DataFrame:
+        on = order.keys(self.marked)
+        reason = F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))[F.col("__step")]
+        return self.marked.filter("__step IS NOT NULL").select(*on, "orig_row_id", F.col("__step").alias("step"), reason.alias("reason"), F.col("__value").alias("value"))
+
     def by_step(self) -> DataFrame:
         return audit.deletions_by_step(self.deletions)
 
@@ -83,19 +98,43 @@ class CleanResult:
         return shapes.withColumn("Yield_bu_ac", F.col("Yield_kg_ha") * units.KGHA_TO_BUACRE["maize"]) if imperial else shapes
 
 
-def wet_and_dry(df: DataFrame) -> DataFrame:
-    """Flow above a mean of 100 is wet yield in kg/ha; else yield follows from flow.  Dry yield where moisture is known."""
-    df = units.flow_to_yield(df, force=True).withColumn("Yield_kg_ha_wet", F.col("Yield_kg_ha"))
+#: Why each step removes a point.
+REASONS = {
+    "no_flow": "no flow, swath or distance",
+    "trim": "within the delay of a pass's end",
+    "position": "far from the field",
+    "gps": "poor GPS status",
+    "velocity": "velocity out of range",
+    "velocity_jump": "sudden change of velocity",
+    "heading": "sudden change of direction",
+    "header": "header not at work",
+    "null_yield": "no yield",
+    "yield_range": "yield out of range",
+    "moisture": "moisture out of range",
+    "overlap": "harvested before",
+    "local_sd": "unlike its neighbours",
+    "pass_filter": "abnormal pass",
+}
+FLOW_COLUMNS = ("Flow", "Distance", "Swath", "Interval")
+
+
+def _dry(df: DataFrame) -> DataFrame:
+    """``Yield_kg_ha`` is the wet yield so far; adds that by name, and dries it where moisture is known."""
+    df = df.withColumn("Yield_kg_ha_wet", F.col("Yield_kg_ha"))
     if not has(df, "Moisture"):
         return df
-    standard = units.standard_moisture(df) if has(df, "GrainType") else df.groupBy(*order.keys(df)).agg(F.lit(15.5).alias("standard_moisture"))
-    df = thresholds.join_fields(df, standard)
-    dry = units.dry_yield(F.col("Yield_kg_ha_wet"), F.coalesce("Moisture", F.col("standard_moisture")), F.col("standard_moisture"))
-    return df.withColumn("Yield_kg_ha", dry).drop("standard_moisture")
+    df = df.withColumn("__standard", units.standard_moisture_of_field(df))
+    dry = units.dry_yield(F.col("Yield_kg_ha_wet"), F.coalesce("Moisture", F.col("__standard")), F.col("__standard"))
+    return df.withColumn("Yield_kg_ha", dry).drop("__standard")
+
+
+def wet_and_dry(df: DataFrame) -> DataFrame:
+    """Flow above a mean of 100 is wet yield in kg/ha; else yield follows from flow.  Dry yield where moisture is known."""
+    return _dry(units.flow_to_yield(df, force=True))
 
 
 def prepare(df: DataFrame, p: CleaningParams) -> tuple[DataFrame, DataFrame | None]:
-    """The first phase: positions, delays, yield.  Persist its result to run several second phases."""
+    """The first phase: positions and delays.  Persist its result to run several second phases."""
     df = no_nan(df) if "orig_row_id" in df.columns else no_nan(df).withColumn("orig_row_id", F.col("row_id"))
     if not has(df, "X", "Y"):
         df = geo.latlon_to_utm(df)
@@ -106,84 +145,91 @@ def prepare(df: DataFrame, p: CleaningParams) -> tuple[DataFrame, DataFrame | No
     return df, best
 
 
-def limits(df: DataFrame, p: CleaningParams) -> DataFrame:
-    df = df.withColumn("velocity", motion.clean_velocity(df))
-    return thresholds.join_fields(df, thresholds.auto_thresholds(df, p.yllim, p.yulim, p.yscale, p.vllim, p.vulim, p.vscale, p.minv_abs, p.miny_abs, p.gbuffer))
+Made = tuple[DataFrame, Column]
 
 
-LIMITS = ("min_yield", "max_yield", "min_velocity", "max_velocity", "min_x", "max_x", "min_y", "max_y")
+def filter_steps(p: CleaningParams) -> list[tuple[str, str | None, Callable[[DataFrame], Made]]]:
+    """(step, shown column, points with what the condition needs and the condition to stay), in order."""
 
+    def field_bounds(bounds: Callable[[DataFrame, Callable[[Column], Column]], dict[str, Column]], column: str) -> Callable[[DataFrame], Made]:
+        def made(d: DataFrame) -> Made:
+            w = order.whole(d)
+            low, high = bounds(d, lambda c: c.over(w)).values()
+            return d.withColumns({"__low": low, "__high": high}), F.col(column).between(F.col("__low"), F.col("__high"))
 
-def filter_steps(p: CleaningParams) -> list[tuple[str, str, str | None, Callable[[DataFrame], tuple[DataFrame, Column]]]]:
-    """(step, reason, shown column, points with what the condition needs and the condition to stay), in order."""
-
-    def spread(d: DataFrame) -> tuple[DataFrame, Column]:
-        w = order.whole(d)
-        d = d.withColumns({"__m": F.avg("Moisture").over(w), "__s": F.stddev_samp("Moisture").over(w)})
-        return d, F.col("Moisture").isNull() | F.col("Moisture").between(F.col("__m") - p.n_std * F.col("__s"), F.col("__m") + p.n_std * F.col("__s"))
+        return made
 
-    def bounded(column: str, low: str, high: str) -> Callable[[DataFrame], tuple[DataFrame, Column]]:
-        return lambda d: (limits(d, p), F.col(column).between(F.col(low), F.col(high)))
+    velocity = field_bounds(lambda d, over: thresholds.velocity_bounds(p.vllim, p.vulim, p.vscale, p.minv_abs, over), "velocity")
+    yields = field_bounds(lambda d, over: thresholds.yield_bounds(d, p.yllim, p.yulim, p.yscale, p.miny_abs, over), "Yield_kg_ha")
 
-    def passes(d: DataFrame) -> tuple[DataFrame, Column]:
-        bad = audit.pass_medians(d, p.pass_threshold).filter("abnormal").select(*order.keys(d), "Pass", F.lit(True).alias("__bad"))
-        return d.join(bad, [*order.keys(d), "Pass"], "left"), F.col("__bad").isNull()
+    def spread(d: DataFrame) -> Made:
+        if not has(d, "Moisture"):
+            return d, F.lit(True)
+        w = order.whole(d)
+        d = d.withColumns({"__low": F.avg("Moisture").over(w) - p.n_std * F.stddev_samp("Moisture").over(w), "__high": F.avg("Moisture").over(w) + p.n_std * F.stddev_samp("Moisture").over(w)})
+        return d, F.col("Moisture").isNull() | F.col("Moisture").between(F.col("__low"), F.col("__high"))
 
     return [
-        ("position", "far from the field", None, lambda d: (spatial.stray_positions(d), ~F.col("position_stray"))),
-        ("gps", "poor GPS status", "GPSStatus", lambda d: (d, F.col("GPSStatus").isNull() | (F.col("GPSStatus") >= p.min_gps) if has(d, "GPSStatus") else F.lit(True))),
-        ("velocity", "velocity out of range", "velocity", bounded("velocity", "min_velocity", "max_velocity")),
-        ("velocity_jump", "sudden change of velocity", None, lambda d: (motion.velocity_jump(d, p.max_acceleration, p.max_deceleration), ~F.col("velocity_jump"))),
-        ("heading", "sudden change of direction", None, lambda d: (motion.heading_anomaly(d, p.max_heading_change), ~F.col("heading_anomaly"))),
-        ("header", "header not at work", "HeaderStatus", lambda d: (d, F.col("HeaderStatus").isin(0, 1, 33) | F.col("HeaderStatus").isNull() if has(d, "HeaderStatus") else F.lit(True))),
-        ("null_yield", "no yield", "Yield_kg_ha", lambda d: (d, F.col("Yield_kg_ha") > 0)),
-        ("yield_range", "yield out of range", "Yield_kg_ha", bounded("Yield_kg_ha", "min_yield", "max_yield")),
-        ("moisture", "moisture out of range", "Moisture", lambda d: spread(d) if has(d, "Moisture") else (d, F.lit(True))),
-        ("overlap", "harvested before", "overlap_ratio", lambda d: (spatial.overlap_ratio(d, p.cellsize, p.swath_unit), F.col("overlap_ratio") <= p.overlap_threshold)),
-        ("local_sd", "unlike its neighbours", "Yield_kg_ha", lambda d: (spatial.local_sd(d, p.n_swaths, p.lsd_limit, p.min_cells, "Yield_kg_ha", p.swath_unit), ~F.col("local_sd_outlier"))),
-        ("pass_filter", "abnormal pass", "Yield_kg_ha", passes),
+        ("position", None, lambda d: (spatial.stray_positions(d), ~F.col("position_stray"))),
+        ("gps", "GPSStatus", lambda d: (d, F.col("GPSStatus").isNull() | (F.col("GPSStatus") >= p.min_gps) if has(d, "GPSStatus") else F.lit(True))),
+        ("velocity", "velocity", lambda d: velocity(d.withColumn("velocity", motion.clean_velocity(d)))),
+        ("velocity_jump", None, lambda d: (motion.velocity_jump(d, p.max_acceleration, p.max_deceleration), ~F.col("velocity_jump"))),
+        ("heading", None, lambda d: (motion.heading_anomaly(d, p.max_heading_change), ~F.col("heading_anomaly"))),
+        ("header", "HeaderStatus", lambda d: (d, F.col("HeaderStatus").isin(0, 1, 33) | F.col("HeaderStatus").isNull() if has(d, "HeaderStatus") else F.lit(True))),
+        ("null_yield", "Yield_kg_ha", lambda d: (d, F.col("Yield_kg_ha") > 0)),
+        ("yield_range", "Yield_kg_ha", yields),
+        ("moisture", "Moisture", spread),
+        ("overlap", "overlap_ratio", lambda d: (spatial.overlap_ratio(d, p.cellsize, p.swath_unit), F.col("overlap_ratio") <= p.overlap_threshold)),
+        ("local_sd", "Yield_kg_ha", lambda d: (spatial.local_sd(d, p.n_swaths, p.lsd_limit, p.min_cells, "Yield_kg_ha", p.swath_unit), ~F.col("local_sd_outlier"))),
+        ("pass_filter", "Yield_kg_ha", lambda d: (audit.abnormal_passes(d, p.pass_threshold), ~F.col("__abnormal"))),
     ]
 
 
-def run_filters(df: DataFrame, p: CleaningParams) -> tuple[DataFrame, DataFrame]:
-    """The second phase: the steps that are on, and the log of deletions."""
-    log = None
-    for step, reason, shown, make in filter_steps(p):
-        if not getattr(p, step):
-            continue
-        columns = df.columns
-        seen, condition = make(df)
-        kept, gone = audit.split(seen, condition, step, reason, shown)
-        keep = [*columns, *(c for c in ("velocity", "overlap_ratio") if c in kept.columns and c not in columns)]
-        df, log = kept.select(*keep), gone if log is None else log.unionByName(gone)
-    if log is None:
-        log = df.limit(0).select(*order.keys(df), "orig_row_id", F.lit("").alias("step"), F.lit("").alias("reason"), F.lit(0.0).alias("value"))
-    return df, log
+def unmarked(df: DataFrame) -> DataFrame:
+    """The points with the marks of the steps: none yet."""
+    return df.withColumns({order.ALIVE: F.lit(True), "__step": F.lit(None).cast("string"), "__value": F.lit(None).cast("double")})
+
+
+def mark(df: DataFrame, made: Made, step: str, shown: str | None = None) -> DataFrame:
+    """Marks the points that are still there and do not meet the condition; a null condition removes."""
+    columns, (seen, keep) = df.columns, made
+    columns += [c for c in ("velocity", "overlap_ratio", "__direct") if c in seen.columns and c not in columns]
+    seen = seen.withColumn("__gone", F.col(order.ALIVE) & ~F.coalesce(keep, F.lit(False)))
+    value = F.col(shown).cast("double") if shown and shown in seen.columns else F.lit(None).cast("double")
+    gone = F.col("__gone")
+    return seen.withColumns({"__step": F.when(gone, step).otherwise(F.col("__step")), "__value": F.when(gone, value).otherwise(F.col("__value")), order.ALIVE: F.col(order.ALIVE) & ~gone}).select(*columns)
+
+
+def run_filters(df: DataFrame, p: CleaningParams) -> DataFrame:
+    """The second phase: the marked points after the steps that are on."""
+    for step, shown, make in filter_steps(p):
+        if getattr(p, step):
+            df = mark(df, make(df), step, shown)
+    return df
 
 
 def clean_yield(df: DataFrame, params: CleaningParams | None = None, **changes) -> CleanResult:
     """The whole pipeline: delays, yield, filters, spatial filters and the log; every point is kept or logged."""
     p = replace(params or CleaningParams(), **changes)
     raw, best = prepare(df, p)
-    yields = wet_and_dry(raw)
-    log = audit.removed(raw, yields, "no_flow", "no flow, swath or distance")
-    if best is not None and p.trim and has(yields, "Pass"):
-        on = order.keys(yields)
-        d = best.select(*on, F.col("delay").alias("__d"))
-        timed = yields.join(d, on, "left") if on else yields.crossJoin(F.broadcast(d))
-        trimmed = _trim(timed).drop("__d")
-        log, yields = log.unionByName(audit.removed(yields, trimmed, "trim", "within the delay of a pass's end")), trimmed
-    clean, gone = run_filters(yields, p)
-    return CleanResult(clean.orderBy(*order.keys(clean), "GPS_Time", "row_id"), wet_and_dry(raw), log.unionByName(gone), best, p)
-
-
-def _trim(df: DataFrame) -> DataFrame:
-    """As ``delay.trim_passes`` with each field's own delay in ``__d``."""
+    points = unmarked(raw)
+    if need(raw, "warn", *FLOW_COLUMNS):
+        points = mark(points, units.usable_flow(points), "no_flow")
+        points = points.withColumn("Yield_kg_ha", units.yield_of_flow(points)).drop("__direct")
+    points = _dry(points)
+    if best is not None and p.trim and has(points, "Pass"):
+        points = mark(points, _trim(points), "trim")
+    return CleanResult(run_filters(points, p).drop(order.ALIVE), wet_and_dry(raw), best, p)
+
+
+def _trim(df: DataFrame) -> Made:
+    """As ``delay.trim_passes`` with each field's own ``Flow_delay``."""
     w = order.by_time(df, "Pass")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"__run": F.sum("Interval").over(upto), "__total": F.sum("Interval").over(order.whole(df, "Pass")), "__gap": F.max(F.col("Interval").isNull()).over(upto)})
-    keep = F.when(F.col("__d") < 0, F.col("__total") - F.col("__run") > F.abs("__d")).when(F.col("__d") > 0, F.col("__run") > F.col("__d")).otherwise(True)
-    return df.filter(F.col("__gap") | F.coalesce(keep, F.lit(True))).drop("__run", "__total", "__gap")
+    d = F.col("Flow_delay")
+    keep = F.when(d < 0, F.col("__total") - F.col("__run") > F.abs(d)).when(d > 0, F.col("__run") > d).otherwise(True)
+    return df, F.col("__gap") | F.coalesce(keep, F.lit(True))
 
 
 def clean_yield_fast(prepared: DataFrame, **on: bool | float) -> CleanResult:
@@ -191,15 +237,23 @@ def clean_yield_fast(prepared: DataFrame, **on: bool | float) -> CleanResult:
     off = {step: False for step, *_ in filter_steps(CleaningParams())}
     p = replace(CleaningParams(), **(off | {"delays": False, "trim": False} | on))
     yields = wet_and_dry(prepared)
-    clean, log = run_filters(yields, p)
-    return CleanResult(clean, yields, log, None, p)
-
-
-def clean_yield_with_tracking(df: DataFrame, progress: Callable[[str], None] | None = None, **changes) -> CleanResult:
-    """As ``clean_yield`` with motion filters and the pass filter on."""
-    for name in ("prepare", "filter", "log") if progress else ():
-        progress(name)
-    return clean_yield(df, **({"velocity_jump": True, "heading": True, "pass_filter": True} | changes))
+    return CleanResult(run_filters(unmarked(yields), p).drop(order.ALIVE), yields, None, p)
+
+
+def clean_yield_with_tracking(df: DataFrame, progress: Callable[[str, int], None] | None = None, **changes) -> CleanResult:
+    """As ``clean_yield`` with motion filters and the pass filter on.
+
+    With ``progress`` the pipeline runs at once, its marked points are persisted, and
+    ``progress`` hears of every step in order: its name and how many points it removed.
+    """
+    result = clean_yield(df, **({"velocity_jump": True, "heading": True, "pass_filter": True} | changes))
+    if progress:
+        result.marked = result.marked.persist()
+        removed = {r["step"]: r["n"] for r in result.by_step().collect()}  # one row a step
+        for step in REASONS:
+            if step in removed or getattr(result.params, step, False):
+                progress(step, removed.get(step, 0))
+    return result
 
 
 def clean_file(spark: SparkSession, path: str, output: str | None = None, log_file: str | None = None, **changes) -> CleanResult:
@@ -215,9 +269,13 @@ def clean_file(spark: SparkSession, path: str, output: str | None = None, log_fi
     return result
 
 
-def ayce_with_yield_conversion(df: DataFrame, **changes) -> CleanResult:
-    """The older variant: wider quantile bounds and a local limit of 3."""
-    return clean_yield(df, **({"yllim": 0.05, "yulim": 0.95, "yscale": 1.5, "vllim": 0.02, "vulim": 0.98, "vscale": 1.5, "lsd_limit": 3} | changes))
+#: Wider quantile bounds and a local limit of 3.
+OLDER = {"yllim": 0.05, "yulim": 0.95, "yscale": 1.5, "vllim": 0.02, "vulim": 0.98, "vscale": 1.5, "lsd_limit": 3}
+
+
+def clean_yield_older(df: DataFrame, **changes) -> CleanResult:
+    """The older variant of the pipeline."""
+    return clean_yield(df, **(OLDER | changes))
 
 
 def shapes(df: DataFrame, geometry: str = "polygon", **changes) -> DataFrame:

@@ -210,19 +210,42 @@ add("x0_detect_anomalies", lambda d: spatial.detect_anomalies(d, ["overlap", "po
 add("x7_grid_sample", lambda d: delay.grid_sample(d, 1000, 50).select(*IDS))
 
 
+#: More neighbours than points without a value can stand among the ten nearest with one.
+_NEAR = 60
+
+
 def _moran_sql(delays: list[int]) -> str:
-    each = " UNION ALL ".join(f"SELECT field_id, row_id, {d} AS delay, X, Y, {'lead' if d >= 0 else 'lag'}(Flow, {abs(d)}) OVER w AS v FROM pts WINDOW w AS (PARTITION BY field_id ORDER BY row_id)" for d in delays)
-    return f"""s AS ({each}), ok AS (SELECT *, row_number() OVER (PARTITION BY field_id, delay ORDER BY row_id) AS i FROM s WHERE v IS NOT NULL),
-z AS (SELECT *, (v - avg(v) OVER g) / stddev_samp(v) OVER g AS z, least(10, count(*) OVER g // 10) AS k FROM ok WINDOW g AS (PARTITION BY field_id, delay)),
-near AS (SELECT a.field_id, a.delay, a.i, a.z AS za, b.z AS zb, (b.X - a.X) * (b.X - a.X) + (b.Y - a.Y) * (b.Y - a.Y) AS d2, a.k, b.i AS j FROM z a JOIN z b ON a.field_id = b.field_id AND a.delay = b.delay AND a.i <> b.i AND abs(b.X - a.X) < 40 AND abs(b.Y - a.Y) < 40 QUALIFY row_number() OVER (PARTITION BY a.field_id, a.delay, a.i ORDER BY d2, b.i) <= a.k),
-w AS (SELECT field_id, delay, i, za * sum(zb / (d2 + 1e-10)) / sum(1 / (d2 + 1e-10)) AS p FROM near GROUP BY field_id, delay, i, za)"""
+    """CTEs up to ``scores`` (field_id, delay, score): the nearest points of each point once, the first k with a value for each delay."""
+    d2 = "(b.X - a.X) * (b.X - a.X) + (b.Y - a.Y) * (b.Y - a.Y)"
+    return f"""near AS (SELECT a.field_id, a.row_id, arg_min({{'j': b.row_id, 'd2': {d2}}}, {{'d2': {d2}, 'j': b.row_id}}, {_NEAR}) AS near FROM pts a JOIN pts b ON a.field_id = b.field_id AND a.row_id <> b.row_id GROUP BY 1, 2),
+n AS (SELECT field_id, row_id, Flow, row_number() OVER (PARTITION BY field_id ORDER BY row_id) AS n FROM pts),
+moved AS (SELECT a.field_id, a.row_id, d.delay, b.Flow AS v FROM n a, (SELECT unnest({delays}) AS delay) d JOIN n b ON b.field_id = a.field_id AND b.n = a.n + d.delay WHERE b.Flow IS NOT NULL),
+z AS (SELECT *, (v - avg(v) OVER g) / stddev_samp(v) OVER g AS z, least(10, count(*) OVER g // 10) AS k, count(*) OVER g AS valid FROM moved WINDOW g AS (PARTITION BY field_id, delay)),
+cand AS (SELECT field_id, row_id, unnest(near).j AS j, 1 / (unnest(near).d2 + 1e-10) AS iw, unnest(range(len(near))) AS r FROM near),
+first AS (SELECT a.field_id, a.delay, a.row_id, a.z AS za, b.z * c.iw AS zw, c.iw FROM z a JOIN cand c ON c.field_id = a.field_id AND c.row_id = a.row_id JOIN z b ON b.field_id = a.field_id AND b.delay = a.delay AND b.row_id = c.j QUALIFY row_number() OVER (PARTITION BY a.field_id, a.delay, a.row_id ORDER BY c.r) <= a.k),
+w AS (SELECT field_id, delay, za * sum(zw) / sum(iw) AS p FROM first GROUP BY field_id, delay, row_id, za),
+q AS (SELECT field_id, delay, sum(z * z) AS zz, any_value(valid) AS valid FROM z GROUP BY 1, 2),
+scores AS (SELECT field_id, delay, CASE WHEN any_value(valid) > 50 THEN sum(p) / any_value(zz) END AS score FROM w JOIN q USING (field_id, delay) GROUP BY 1, 2)"""
+
+
+add("x8_moran", lambda d: delay.delay_scores(d, [0]).select("field_id", F.round("score", 5).alias("moran")), f"{_moran_sql([0])} SELECT field_id, round(score, 5) AS moran FROM scores")
+#: All delays at once take DuckDB ten minutes: the tests hold these three against every point of small fields instead.
+add("x9_delay_scores", lambda d: delay.delay_adjustment(d, n_iterations=2).scores.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score"), "sd_score"))
+add("x9_best_delay", lambda d: delay.delay_adjustment(d, n_iterations=2).best.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score")))
+add("a12_top_delays", lambda d: delay.top_delays(delay.delay_adjustment(d, n_iterations=2)).select("field_id", "delay", "rank", F.round("mean_score", 5).alias("mean_score")))
+add("x9_fixed_delay", lambda d: delay.delay_adjustment(d, [3], 2).best.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score")), f"{_moran_sql([3])} SELECT field_id, delay::INTEGER AS delay, round(score, 5) AS mean_score FROM scores")
+
+
+def _shifted_sql(best: str) -> str:
+    """CTEs up to ``moved``: the points with Flow taken ``delay`` rows on, gaps filled; ``best`` gives each field's delay."""
+    line = _LINE.format(edge=", m").replace("n AS (", "num AS (", 1).replace("SELECT field_id, row_id, Flow, row_number() OVER w AS n FROM pts", "SELECT field_id, row_id, Flow, row_number() OVER w AS n FROM late").replace("FROM n)", "FROM num)").replace(", 6) AS Flow FROM p", ", 12) AS Flow FROM p")
+    ctes, _, last = line.rpartition("SELECT field_id, row_id, round(")
+    return f"""{best}, rows AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY row_id) AS at FROM pts), late AS (SELECT a.field_id, a.row_id, a.X, a.Y, b.Flow FROM rows a JOIN best USING (field_id) LEFT JOIN rows b ON b.field_id = a.field_id AND b.at = a.at + best.delay),
+{ctes.strip()}, filled AS (SELECT field_id, row_id, round({last}), moved AS (SELECT pts.* REPLACE (filled.Flow AS Flow), pts.Flow AS Flow_raw FROM pts JOIN filled USING (field_id, row_id))"""
 
 
-add("x8_moran", lambda d: delay.delay_scores(d, [0]).select("field_id", F.round("score", 5).alias("moran")), _moran_sql([0]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, sum(z * z) AS zz FROM z GROUP BY 1) SELECT w.field_id, round(sum(p) / any_value(zz), 5) AS moran FROM w JOIN q USING (field_id) GROUP BY 1")
-add("x9_delay_scores", lambda d: delay.delay_adjustment(d, [-1, 0, 1], 2).scores.select("field_id", "delay", F.round("mean_score", 5).alias("mean_score"), "sd_score"), _moran_sql([-1, 0, 1]).replace("FROM pts WINDOW", "FROM pts WHERE row_id % 1999 <> 1000 WINDOW") + ", q AS (SELECT field_id, delay, sum(z * z) AS zz FROM z GROUP BY 1, 2) SELECT w.field_id, w.delay, round(sum(p) / any_value(zz), 5) AS mean_score, 0e0 AS sd_score FROM w JOIN q USING (field_id, delay) GROUP BY 1, 2")
-add("x9_best_delay", lambda d: delay.delay_adjustment(d, n_iterations=2).best.select("field_id", "delay", r6("mean_score").alias("mean_score")))
-add("a12_top_delays", lambda d: delay.top_delays(delay.delay_adjustment(d, n_iterations=2)).select("field_id", "delay", "rank", r6("mean_score").alias("mean_score")))
 add("x10_optimize_delays", lambda d: delay.optimize_delays(d, "flow", n_iterations=2)[0].select(*IDS, r6("Flow").alias("Flow"), "Flow_raw"))
+add("x10_fixed_delay", lambda d: delay.optimize_delays(d, "flow", delays=[-2], n_iterations=2)[0].select(*IDS, r6("Flow").alias("Flow"), "Flow_raw"), f"{_shifted_sql('best AS (SELECT DISTINCT field_id, -2 AS delay FROM pts)')} SELECT field_id, row_id, round(Flow, 6) AS Flow, Flow_raw FROM moved")
 _BREAKS = "[" + ", ".join(f"{i / 49!r}" for i in range(50)) + "]"
 add("x11_coherence", lambda d: spatial.coherence(d.filter("Flow IS NOT NULL")).select("field_id", r6("rsc").alias("rsc")), f"""b AS (SELECT field_id, quantile_cont(X, {_BREAKS}) AS bx, quantile_cont(Y, {_BREAKS}) AS byy, avg(Flow) AS m, var_samp(Flow) AS v FROM pts WHERE Flow IS NOT NULL GROUP BY 1),
 k AS (SELECT field_id, Flow, m, v, len(list_filter(bx, lambda q: q <= X)) AS kx, len(list_filter(byy, lambda q: q <= Y)) AS ky FROM pts JOIN b USING (field_id) WHERE Flow IS NOT NULL),
@@ -254,4 +277,87 @@ add("pl1_clean_yield", lambda d: cleaning.clean_yield(d, n_iterations=2, swath_u
 add("pl2_clean_fast", lambda d: cleaning.clean_yield_fast(cleaning.prepare(d, cleaning.CleaningParams(delays=False))[0], gps=True, header=True, null_yield=True).clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")), f"t AS (SELECT *, {_YIELD} AS wet FROM pts WHERE Flow > 0 AND Distance > 0 AND Swath > 0), z AS (SELECT *, wet * (100 - coalesce(Moisture, 15.5e0)) / (100 - 15.5e0) AS dry FROM t) SELECT field_id, row_id, round(dry, 6) AS Yield_kg_ha FROM z WHERE (GPSStatus IS NULL OR GPSStatus >= 4) AND (HeaderStatus IN (0, 1, 33) OR HeaderStatus IS NULL) AND dry > 0")
 add("pl3_deletions_by_step", lambda d: cleaning.clean_yield_with_tracking(d, swath_unit="in").by_step())
 add("pl4_polygons", lambda d: cleaning.shapes(d, swath_unit="in").select("field_id", "orig_row_id", F.round("Heading_deg", 3).alias("heading"), r6("Yield_kg_ha").alias("Yield_kg_ha")))
-add("pl5_older_variant", lambda d: cleaning.ayce_with_yield_conversion(d, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
+add("pl5_older_variant", lambda d: cleaning.clean_yield_older(d, swath_unit="in").clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")))
+
+
+def _cleaning_sql(p: cleaning.CleaningParams, shift: int) -> tuple[str, list[tuple[str, str, str]]]:
+    """CTEs of a whole cleaning with one fixed delay, and (step, table before, table after) of each step."""
+    f, g = "WINDOW f AS (PARTITION BY field_id)", "WINDOW g AS (PARTITION BY field_id ORDER BY GPS_Time, row_id)"
+    ctes, steps, last = [_shifted_sql(f"best AS (SELECT DISTINCT field_id, {shift} AS delay FROM pts)")], [], "moved"
+
+    def step(name: str, columns: str, condition: str, window: str = "") -> None:
+        nonlocal last
+        ctes.append(f"m_{name} AS (SELECT *, {columns} FROM {last} {window})" if columns else f"m_{name} AS (FROM {last})")
+        drop = [c.rpartition(" AS ")[2] for c in columns.split(" ; ")] if columns else []
+        ctes[-1] = ctes[-1].replace(" ; ", ", ")
+        ctes.append(f"s_{name} AS (SELECT * {'EXCLUDE (' + ', '.join(drop) + ')' if drop else ''} FROM m_{name} WHERE {condition})")
+        steps.append((name, last, f"s_{name}"))
+        last = f"s_{name}"
+
+    step("no_flow", "", "Flow > 0 AND Distance > 0 AND Swath > 0")
+    ctes.append(f"wet AS (SELECT *, {_YIELD} AS wet FROM {last}), dry AS (SELECT *, wet * (100 - coalesce(Moisture, 15.5e0)) / (100 - 15.5e0) AS yld FROM wet)")
+    last = "dry"
+    step("trim", 'sum("Interval") OVER (PARTITION BY field_id, Pass ORDER BY GPS_Time, row_id) AS run ; sum("Interval") OVER (PARTITION BY field_id, Pass) AS total', f"run > {shift}" if shift > 0 else f"total - run > {-shift}" if shift < 0 else "true")
+    step("gps", "", "GPSStatus IS NULL OR GPSStatus >= 4")
+    ctes.append(f"speed AS (SELECT *, coalesce({V}, 0) AS v FROM {last} {W})")
+    last, before = "speed", last
+    step("velocity", f"quantile_cont(v, {p.vllim}) OVER f AS a ; quantile_cont(v, {p.vulim}) OVER f AS b", f"v BETWEEN greatest({p.minv_abs}, a - {p.vscale} * (b - a)) AND b + {p.vscale} * (b - a)", f)
+    steps[-1] = ("velocity", before, last)
+    if p.velocity_jump:
+        step("velocity_jump", f"""({_STEP.format(f="lead")} / coalesce(lead("Interval") OVER g, 1) - {_STEP.format(f="lag")} / coalesce(lag("Interval") OVER g, 1)) / coalesce("Interval", 1) AS acc""", f"NOT coalesce(acc > {p.max_acceleration} OR acc < {p.max_deceleration}, false)", g)
+    if p.heading:
+        ctes.append(f"bear AS (SELECT *, degrees(atan2(X - (lag(X) OVER g), Y - (lag(Y) OVER g))) AS d FROM {last} {g}), turn AS (SELECT * EXCLUDE (d), {_BEAR.format(d='d')} AS h FROM bear)")
+        last, before = "turn", last
+        step("heading", "abs(h - (lag(h) OVER g)) AS c", f"NOT coalesce(least(c, 360 - c) > {p.max_heading_change}, false)", g)
+        steps[-1] = ("heading", before, last)
+    step("header", "", "HeaderStatus IN (0, 1, 33) OR HeaderStatus IS NULL")
+    step("null_yield", "", "yld > 0")
+    step("yield_range", f"quantile_cont(yld, {p.yllim}) OVER f AS a ; quantile_cont(yld, {p.yulim}) OVER f AS b", f"yld BETWEEN greatest({p.miny_abs}, a - {p.yscale} * (b - a)) AND b + {p.yscale} * (b - a)", f)
+    step("moisture", "avg(Moisture) OVER f AS m ; stddev_samp(Moisture) OVER f AS s", f"Moisture IS NULL OR Moisture BETWEEN m - {p.n_std} * s AND m + {p.n_std} * s", f)
+    inner = _X2.replace("FROM pts WINDOW f", f"FROM {last} WINDOW f").rpartition("\nSELECT")[0]
+    for name in "bgmncrs":
+        inner = inner.replace(f"{name} AS (SELECT", f"o_{name} AS (SELECT", 1).replace(f" FROM {name} ", f" FROM o_{name} ").replace(f" FROM {name})", f" FROM o_{name})")
+    ctes.append(f"{inner}, ratio AS (SELECT t.*, coalesce(ratio, 0) AS overlap FROM {last} t LEFT JOIN o_s USING (field_id, row_id))")
+    last, before = "ratio", last
+    step("overlap", "", f"overlap <= {p.overlap_threshold}")
+    steps[-1] = ("overlap", before, last)
+    cell = f"PARTITION BY field_id, floor(X / size), floor(Y / size)"
+    ctes.append(f"sized AS (SELECT *, {p.n_swaths} * avg(Swath) OVER f * 0.0254e0 AS size FROM {last} {f})")
+    last, before = "sized", last
+    step("local_sd", "count(*) OVER c AS n ; avg(yld) OVER c AS lm ; stddev_samp(yld) OVER c AS ls ; avg(yld) OVER f AS gm ; stddev_samp(yld) OVER f AS gs", f"yld BETWEEN coalesce(CASE WHEN n >= {p.min_cells} THEN lm END, gm) - {p.lsd_limit} * coalesce(CASE WHEN n >= {p.min_cells} THEN ls END, gs) AND coalesce(CASE WHEN n >= {p.min_cells} THEN lm END, gm) + {p.lsd_limit} * coalesce(CASE WHEN n >= {p.min_cells} THEN ls END, gs)", f"WINDOW c AS ({cell}), f AS (PARTITION BY field_id)")
+    steps[-1] = ("local_sd", before, last)
+    if p.pass_filter:
+        ctes.append(f"pm AS (SELECT field_id, Pass, median(yld) AS m FROM {last} GROUP BY ALL), pb AS (SELECT field_id, Pass, coalesce(abs(m - median(m) OVER f) > {p.pass_threshold} * stddev_samp(m) OVER f, false) AS bad FROM pm {f})")
+        ctes.append(f"s_pass AS (SELECT t.* FROM {last} t JOIN pb USING (field_id, Pass) WHERE NOT bad)")
+        steps.append(("pass_filter", last, "s_pass"))
+        last = "s_pass"
+    return ", ".join(ctes), steps
+
+
+def _heading_sql(table: str) -> str:
+    """The query of win8 on another table, up to its last SELECT, with CTEs of its own names."""
+    body = next(v for k, v in ORACLES.items() if k == "win8_smooth_heading").partition("a AS (SELECT field_id, row_id, GPS_Time")[2]
+    body = "ha AS (SELECT field_id, row_id, GPS_Time" + body.replace("FROM pts", f"FROM {table}")
+    for name in "abcesmz":
+        body = body.replace(f"\n{name} AS (", f"\nh{name} AS (").replace(f" {name} AS (SELECT", f" h{name} AS (SELECT").replace(f" FROM {name} ", f" FROM h{name} ").replace(f" FROM {name})", f" FROM h{name})")
+    return body.replace("round(CASE", "CASE").replace("END, 4) AS heading FROM z", "END AS heading FROM hz")
+
+
+#: The same pipelines with one delay for all fields, which SQL follows step by step.
+FIXED = {"delay_range": (3,), "n_iterations": 2, "swath_unit": "in"}
+
+
+def _add_fixed() -> None:
+    params = lambda **more: cleaning.replace(cleaning.CleaningParams(), **FIXED, **more)
+    ctes, steps = _cleaning_sql(params(), 3)
+    add("pl1_fixed_delay", lambda d: cleaning.clean_yield(d, **FIXED).clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")), f"{ctes} SELECT field_id, row_id, round(yld, 6) AS Yield_kg_ha FROM {steps[-1][2]}")
+    add("pl4_fixed_delay", lambda d: cleaning.shapes(d, **FIXED).select("field_id", "orig_row_id", F.round("Heading_deg", 3).alias("heading"), r6("Yield_kg_ha").alias("Yield_kg_ha")), f"{ctes}, heads AS (SELECT * FROM ({'WITH ' + _heading_sql(steps[-1][2])})) SELECT field_id, row_id AS orig_row_id, round(heading, 3) AS heading, round(yld, 6) AS Yield_kg_ha FROM {steps[-1][2]} JOIN heads USING (field_id, row_id)")
+    ctes, steps = _cleaning_sql(params(velocity_jump=True, heading=True, pass_filter=True), 3)
+    counted = " UNION ALL ".join(f"SELECT '{n}' AS step, (SELECT count(*) FROM {a}) - (SELECT count(*) FROM {b}) AS n" for n, a, b in steps)
+    add("pl3_fixed_delay", lambda d: cleaning.clean_yield_with_tracking(d, **FIXED).by_step(), f"{ctes} SELECT step, n FROM ({counted}) WHERE n > 0")
+    older = cleaning.OLDER
+    ctes, steps = _cleaning_sql(params(**older), 3)
+    add("pl5_fixed_delay", lambda d: cleaning.clean_yield_older(d, **FIXED).clean.select(*IDS, r6("Yield_kg_ha").alias("Yield_kg_ha")), f"{ctes} SELECT field_id, row_id, round(yld, 6) AS Yield_kg_ha FROM {steps[-1][2]}")
+
+
+_add_fixed()

@@ -97,6 +97,18 @@ def test_pipeline_keeps_or_logs_every_point(spark):
     assert 0 < result.validation().first()["retention"] < 1
 
 
+def test_tracking_tells_what_each_step_removed(spark):
+    heard = []
+    result = cleaning.clean_yield_with_tracking(sample(spark), lambda step, n: heard.append((step, n)), delays=False)
+    assert [s for s, _ in heard if s in cleaning.REASONS] == [s for s, _ in heard] and ("gps", 10) in heard and ("velocity_jump", 0) in heard
+    assert sum(n for _, n in heard) + result.clean.count() == 400
+
+
+def test_cleaning_plans_stay_small(spark):
+    plan = queries.QUERIES["pl1_clean_yield"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 4 and plan.count("InPandas") <= 2 and plan.count("Exchange") <= 16
+
+
 def test_fast_pipeline_filters_only_when_asked(spark):
     prepared, _ = cleaning.prepare(sample(spark), cleaning.CleaningParams(delays=False))
     assert cleaning.clean_yield_fast(prepared).clean.count() == 400
