@@ -15,11 +15,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
     The sample's ids are few enough to send to every reader of the documents.
     A document labelled twice has the larger label; null labels and ids count
-    for nothing; a repeated document is there as often as it is in the table.
+    for nothing; of documents that share an id, the smallest text stands for all.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(train).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, prior: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:

@@ -26,14 +26,17 @@ URL_RULES = [
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: its words, how many a smaller id's window takes away, and the digest of the rest.  Nulls, repeats and empty tables: see ``substring_digest``."""
     return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its group of near copies.  Nulls, shared ids, repeats and empty tables: see ``near_groups``."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: the words that the mix of sources takes of it.  A null text has no words, a null source is one of its own; an empty table gives none."""
     return mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
@@ -42,6 +45,7 @@ def _held_out(folds: int, fold: int) -> Column:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score; a null id is in no fold that is held out.  Null and empty texts: see ``toxicity``."""
     docs = table(spark, sf_dir, "documents")
     sample = learning.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~_held_out(3, 1))
     scored = toxicity.toxicity(docs, toxicity.fit(sample))
@@ -49,12 +53,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its bytes and tokens; a null text counts as empty, an empty table gives none."""
     import public_tokenizers
 
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score; a null id is in no fold that is held out, a null text counts as empty."""
     docs = table(spark, sf_dir, "documents")
     sample = learning.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~_held_out(4, 2))
     scored = quality_classifier.quality(docs, quality_classifier.fit_sample(sample))
@@ -62,18 +68,22 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its counts and verdict; a null text has no words."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages with its verdict; a null url has an empty host and path and is judged by no rule."""
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document and benchmark item that match; null ids stay null, null and empty texts match nothing."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its base and model scores; a null text has the end token alone, a null id is in no fold and learnt from by neither."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

@@ -138,7 +138,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size:
     first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("last > first")
     first = scratch.keep(first.select("w1", "w2", "first"), "first")
     later = windows.join(first, ["w1", "w2"]).filter("did > first")
-    runs = scratch.keep(as_runs(later.groupBy("did", "th").agg(F.collect_list("pos").alias("pos")), window), "runs")
+    runs = scratch.keep(as_runs(later.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), window), "runs")
     scratch.drop(windows, first, hot)
     return runs
 

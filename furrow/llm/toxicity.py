@@ -36,8 +36,6 @@ REACH = {NEGATION: 3, TARGET: 6}
 PREFIX_BYTES = (4, 5, 6, 7, 8)
 #: A learnt word is in this many toxic sample rows at least, and this share of the rows that hold it is toxic.
 MIN_ROWS, MIN_PURITY = 3, 0.9
-#: Learnt words kept at most; the model is sent to every task.
-MAX_LEXICON = 5000
 THRESHOLD = 0.7
 #: (threat?, negated?, reported?, targeted?)
 PATTERNS = list(product((False, True), repeat=4))
@@ -199,9 +197,12 @@ def features(patterns: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: DataFrame) -> Model:
-    """Learns words and weights from rows (doc_id, label, text); without rows of both labels, no words are learnt."""
+    """Learns words and weights from rows (doc_id, label, text); without rows of both labels, no words are learnt.
+
+    The sample bounds the lexicon that is sent to every task.
+    """
     per_key = word_rows(sample).groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    per_key = per_key.filter((F.col("bad") >= MIN_ROWS) & (F.col("bad") >= MIN_PURITY * F.col("n"))).orderBy(F.desc("bad"), "key").limit(MAX_LEXICON)
+    per_key = per_key.filter((F.col("bad") >= MIN_ROWS) & (F.col("bad") >= MIN_PURITY * F.col("n")))
     words = np.sort(np.array([r["key"] for r in per_key.select("key").collect()], np.int64).view(np.uint64))
     found = pattern_counts(sample, words, ("label",)).toPandas()
     if found["label"].nunique() < 2:

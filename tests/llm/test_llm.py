@@ -126,6 +126,21 @@ def test_near_groups_link_a_cut_copy_whose_lists_have_other_centres(spark):
     assert all(root[4 * f + 1] == 4 * f for f in range(10))
 
 
+def test_near_groups_with_null_shared_and_repeated_ids(spark):
+    """Rows that share an id are documents of their own; one of each group stays."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, 150)) for _ in range(3))
+    near = c + " more"
+    data = [(1, a, 0), (None, a, 1), (None, b, 2), (None, c, 3), (2, near, 4), (7, a, 5), (7, b, 6), (7, b, 6), (None, None, 7), (None, "", 8), (9, None, 9)]
+    table = spark.createDataFrame(data, "doc_id long, text string, did long").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in near_dedup.near_groups(table).collect())
+    want = [(1, True, 1, True), (None, True, 1, False), (None, True, 7, False), (None, True, 2, False), (2, True, 2, True), (7, True, 1, False), (7, True, 7, True), (7, True, 7, True), (None, False, None, True), (None, False, None, True), (9, False, 9, True)]
+    assert got == Counter(want)
+    left = near_dedup.near_dedup(table)
+    assert left.columns == ["doc_id", "text", "did"]
+    assert sorted(r["did"] for r in left.collect()) == [0, 4, 6, 7, 8, 9]
+
+
 def test_near_dedup_keeps_one_and_all_columns(docs, empty):
     left = near_dedup.near_dedup(docs)
     assert left.columns == docs.columns
