@@ -3,10 +3,10 @@
 A window's anchor is the smallest hash among its runs of ``ANCHOR_WORDS`` words,
 so equal windows have equal anchors, and an anchor's count is never below its
 windows' counts.  Each partition counts the documents of its anchors in a
-Count-min sketch, whose rows are wide and stored sparsely; merged, they
-overestimate how many documents hold a window.  A second pass groups exactly
-only the windows whose estimate is two or more.  A sketch may keep a window too
-many and loses none.
+Count-min sketch of its own, and the sketches are added counter by counter;
+merged, they overestimate how many documents hold a window.  A second pass
+groups exactly only the windows whose estimate is two or more.  A sketch may
+keep a window too many and loses none, whatever its width.
 """
 
 from __future__ import annotations
@@ -24,8 +24,13 @@ from furrow.llm.storage import Scratch, small
 
 WINDOW = 50
 ANCHOR_WORDS = 16
-#: Rows of the sketch and counters in each.
-DEPTH, WIDTH = 2, 1 << 40
+#: Rows of the sketch, and counters of a row for each anchor: an anchor of one document is kept
+#: for nothing with a chance of at most (1 / LOAD) ** DEPTH, about one in 64.
+DEPTH, LOAD = 2, 8
+#: A row of the sketch is cut into so many pages, each merged by itself, and more where a page would have more counters than this.
+PAGES, MAX_PAGE = 256, 1 << 24
+#: Anchors that one sketch of a partition takes; a partition with more of them makes several.
+SKETCH_ANCHORS = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -68,10 +73,64 @@ def anchor_rows(docs: DataFrame, window: int, size: int) -> DataFrame:
     return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, anchor long")
 
 
+def sketch_width(n_anchors: int) -> int:
+    """Counters in a row: the power of two that ``n_anchors`` fill to one in ``LOAD`` at most."""
+    return max(PAGES, 1 << (LOAD * n_anchors - 1).bit_length())
+
+
+def page_size(width: int) -> int:
+    return max(1, min(width // PAGES, MAX_PAGE))
+
+
+def partition_sketches(rows: DataFrame, depth: int, width: int) -> DataFrame:
+    """Rows (row, page, at, n): the counters above 0 of each page of each partition's sketch, as 32-bit places and 8-bit counts.
+
+    A count stops at 255, and an estimate needs to tell no more than one from two.
+    """
+    page = page_size(width)
+    names = [f"c{r}" for r in range(depth)]
+
+    def packed(anchors: list[list[np.ndarray]]) -> pa.RecordBatch:
+        out: dict[str, list] = {"row": [], "page": [], "at": [], "n": []}
+        for r, parts in enumerate(anchors):
+            cell, n = np.unique(np.concatenate(parts), return_counts=True)
+            pages, first = np.unique(cell // page, return_index=True)
+            at, n = (cell % page).astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+            for p, a, b in zip(pages.tolist(), first, [*first[1:], len(cell)], strict=True):
+                for name, value in (("row", r), ("page", p), ("at", at[a:b].tobytes()), ("n", n[a:b].tobytes())):
+                    out[name].append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int32()), pa.array(out["page"], pa.int64()), pa.array(out["at"], pa.binary()), pa.array(out["n"], pa.binary())], names=list(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
+        for batch in batches:
+            for r, name in enumerate(names):
+                held[r].append(batch.column(name).to_numpy())
+            size += batch.num_rows
+            if size >= SKETCH_ANCHORS:
+                yield packed(held)
+                held, size = [[] for _ in names], 0
+        if size:
+            yield packed(held)
+
+    return rows.select(*(_cell(r, width).alias(name) for r, name in enumerate(names))).mapInArrow(run, "row int, page long, at binary, n binary")
+
+
 def sketch(rows: DataFrame, depth: int, width: int) -> DataFrame:
-    """The merged Count-min sketch: (row, cell, n) of the cells counted twice or more."""
-    cells = [F.struct(F.lit(r).alias("row"), _cell(r, width).alias("cell")) for r in range(depth)]
-    return rows.select(F.inline(F.array(*cells))).groupBy("row", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    """The merged Count-min sketch, the sum of the partitions' own: (row, cell, n) of the counters at two or more."""
+    page = page_size(width)
+
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        total = np.zeros(page, np.uint16)
+        for at, n in zip(parts.column("at").to_pylist(), parts.column("n").to_pylist(), strict=True):
+            cells = np.frombuffer(at, "<u4")  # each cell once in a part
+            total[cells] = np.minimum(total[cells] + np.frombuffer(n, np.uint8), 255)
+        hot = np.flatnonzero(total > 1)
+        row, first = key[0].as_py(), key[1].as_py() * page
+        return pa.table({"row": pa.array(np.full(len(hot), row), pa.int32()), "cell": pa.array(hot + first, pa.int64()), "n": pa.array(total[hot].astype(np.int64))})
+
+    return partition_sketches(rows, depth, width).groupBy("row", "page").applyInArrow(add, "row int, cell long, n long")
 
 
 def _cell(row: int, width: int):
@@ -125,11 +184,13 @@ def as_runs(positions: DataFrame, window: int) -> DataFrame:
     return positions.mapInArrow(run, "did long, th long, starts array<int>, ends array<int>")
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size: int = ANCHOR_WORDS, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size: int = ANCHOR_WORDS, depth: int = DEPTH, width: int | None = None) -> DataFrame:
     """Rows (did, th, starts, ends) of the documents that hold repeats: word stretches covered by
-    windows that also start in a document with a smaller id.  Null ids count as the largest."""
+    windows that also start in a document with a smaller id.  Null ids count as the largest.
+    The sketch's width follows from the number of anchors, if it is not given."""
     docs = keyed(docs)
     rows = scratch.keep(anchor_rows(docs, window, size), "anchors")
+    width = width or sketch_width(rows.count())
     merged = scratch.keep(sketch(rows, depth, width), "sketch")
     hot = scratch.keep(estimated_repeated(rows, merged, depth, width), "hot")
     n_hot = hot.agg(F.coalesce(F.sum(F.size("hot") + 4), F.lit(0))).first()[0]

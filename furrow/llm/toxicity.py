@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reported speech, plain.
-Transducers for negation, reported speech and target run over the clauses that
-hold an insult or a threat; their composition turns each such word into a
-pattern, for example a targeted insult that is not negated.  Patterns carry
-weights, and a document's score is the logistic function of their weighted counts.
-Which words insult is learnt from labelled rows, as whole words and as word
-beginnings, and so are the weights.
+Words become symbols: insult, threat, target, object, negation, reported speech,
+plain.  Two composed transducers read each clause that holds an insult or a
+threat, one from its front and one from its back.  At every hit their states
+say what stands before and after it, and the insult's or the threat's own
+machine turns them into a pattern, for example a targeted insult that is not
+negated.  Patterns are weighted, and the clause takes its heaviest, marked if
+it holds several hits as much negated and reported as that one.  A document's score is the logistic function of the weighted counts of its
+matched clauses.  Which words insult is learnt from labelled rows, as whole
+words and as word beginnings, and so are the final weights.
 """
 
 from __future__ import annotations
@@ -23,22 +25,24 @@ from pyspark.sql import functions as F
 from furrow.llm import learning
 from furrow.llm import textcore as tc
 
-PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+PLAIN, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT = range(7)
+N_SYMBOLS = 7
 #: Closed word classes in English, German, French and Spanish.
 WORDS = {
     THREAT: "kill hurt destroy beat murder strangle stab shoot töten vernichten verprügeln tuer frapper détruire matar golpear destruir",
-    TARGET: "you your you're they them their he him his she her du dich dein ihr euch tu te toi vous votre usted ustedes vosotros",
+    TARGET: "you your you're they their he his she her du dein ihr tu toi vous votre usted ustedes vosotros",
+    OBJECT: "them him dich euch te",
     NEGATION: "not never no isn't aren't don't won't nicht nie kein keine ne pas jamais nunca jamás tampoco",
     REPORT: "said says wrote quoted called reported claimed sagte schrieb zitierte dit disait écrit dijo escribió citó",
 }
-#: How many words a negation and a target reach, before an insult or threat.
+#: How many words a negation reaches forwards, and a target either way unless a word of reported speech stands between.
 REACH = {NEGATION: 3, TARGET: 6}
 PREFIX_BYTES = (4, 5, 6, 7, 8)
 #: A learnt word is in this many toxic sample rows at least, and this share of the rows that hold it is toxic.
 MIN_ROWS, MIN_PURITY = 3, 0.9
 THRESHOLD = 0.7
-#: (threat?, negated?, reported?, targeted?)
-PATTERNS = list(product((False, True), repeat=4))
+#: (several such hits in the clause?, threat?, negated?, reported?, targeted?)
+PATTERNS = list(product((False, True), repeat=5))
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -47,37 +51,74 @@ _STOP[list(b".!?;:")] = True
 
 
 class Transducer:
-    """A deterministic machine over symbols: ``delta[state, symbol]``; its output is its state."""
+    """A deterministic machine over symbols: ``delta[state, symbol]``; each state carries an output."""
 
-    def __init__(self, delta: np.ndarray):
-        self.delta = delta
+    def __init__(self, delta: np.ndarray, outputs: list[tuple[int, ...]]):
+        self.delta, self.outputs = delta, outputs
 
     @staticmethod
-    def within(symbol: int, reach: int) -> Transducer:
-        """Its state says how many further words a symbol reaches; 0: none."""
-        delta = np.tile(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], (1, 6))
-        delta[:, symbol] = reach
-        return Transducer(delta)
+    def within(symbols: tuple[int, ...], reach: int, stop: int | None = None) -> Transducer:
+        """Its state says how many further words the symbols reach, 0 after ``stop``; its output, whether they reach any."""
+        delta = np.tile(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], (1, N_SYMBOLS))
+        delta[:, symbols] = reach
+        if stop is not None:
+            delta[:, stop] = 0
+        return Transducer(delta, [(int(left > 0),) for left in range(reach + 1)])
 
     @staticmethod
     def since(symbol: int) -> Transducer:
         """1 from a symbol on to the clause's end."""
-        delta = np.array([[0] * 6, [1] * 6])
+        delta = np.array([[0] * N_SYMBOLS, [1] * N_SYMBOLS])
         delta[0, symbol] = 1
-        return Transducer(delta)
+        return Transducer(delta, [(0,), (1,)])
 
     def compose(self, other: Transducer) -> Transducer:
-        """The product machine; a state is ``mine * other's states + other's``."""
+        """The product machine; a state is ``mine * other's states + other's``, its output both outputs."""
         n = len(other.delta)
-        return Transducer((self.delta[:, None, :] * n + other.delta[None, :, :]).reshape(-1, 6))
+        delta = (self.delta[:, None, :] * n + other.delta[None, :, :]).reshape(-1, N_SYMBOLS)
+        return Transducer(delta, [a + b for a in self.outputs for b in other.outputs])
 
 
-def grammar() -> tuple[list[list[int]], list[int]]:
-    """Transitions of the composed machine, and for each state the place of (negated, reported, targeted) among patterns."""
-    reach_n, reach_t = REACH[NEGATION] + 1, REACH[TARGET] + 1
-    machine = Transducer.within(NEGATION, REACH[NEGATION]).compose(Transducer.since(REPORT)).compose(Transducer.within(TARGET, REACH[TARGET]))
-    flags = [4 * (s // (2 * reach_t) > 0) + 2 * (s // reach_t % 2) + (s % reach_t > 0) for s in range(2 * reach_n * reach_t)]
-    return machine.delta.tolist(), flags
+@dataclass
+class Grammar:
+    """The machines that read a clause from its front and from its back, and for each hit the pattern of a pair of states."""
+
+    front: list[list[int]]
+    back: list[list[int]]
+    patterns: dict[int, np.ndarray]
+
+
+def insult_pattern(negated: int, reported: int, subject: int, object_: int, reported_after: int, target_after: int) -> int:
+    """An insult meets its target on either side."""
+    return 4 * negated + 2 * (reported | reported_after) + (subject | object_ | target_after)
+
+
+def threat_pattern(negated: int, reported: int, subject: int, object_: int, reported_after: int, target_after: int) -> int:
+    """Who threatens stands before the verb: there only an object is a target, after it each target."""
+    return 8 + 4 * negated + 2 * (reported | reported_after) + (object_ | target_after)
+
+
+def grammar() -> Grammar:
+    near = lambda *symbols: Transducer.within(symbols, REACH[TARGET], REPORT)
+    front = Transducer.within((NEGATION,), REACH[NEGATION]).compose(Transducer.since(REPORT)).compose(near(TARGET)).compose(near(OBJECT))
+    back = Transducer.since(REPORT).compose(near(TARGET, OBJECT))
+    machines = {INSULT: insult_pattern, THREAT: threat_pattern}
+    patterns = {s: np.array([[machine(*a, *b) for b in back.outputs] for a in front.outputs]) for s, machine in machines.items()}
+    return Grammar(front.delta.tolist(), back.delta.tolist(), patterns)
+
+
+def read_clause(symbols: list[int], machines: Grammar) -> list[int]:
+    """The pattern of each insult and threat of a clause, in order."""
+    state, before = 0, []
+    for s in symbols:
+        before.append(state)
+        state = machines.front[state][s]
+    state, found = 0, []
+    for s, was in zip(reversed(symbols), reversed(before), strict=True):
+        if s in machines.patterns:
+            found.append(int(machines.patterns[s][was, state]))
+        state = machines.back[state][s]
+    return found[::-1]
 
 
 @dataclass
@@ -89,8 +130,8 @@ class Model:
 
 
 def prior() -> np.ndarray:
-    """Weights before learning: negated and reported patterns say little."""
-    w = [0.5 if negated or reported else 3.0 + targeted for _, negated, reported, targeted in PATTERNS]
+    """Weights before learning: negated and reported patterns say little, several hits more than one."""
+    w = [0.5 if negated or reported else 3.0 + targeted + 2 * several for several, _, negated, reported, targeted in PATTERNS]
     return np.array([*w, -3.0])
 
 
@@ -139,17 +180,17 @@ def word_rows(sample: DataFrame) -> DataFrame:
 
 
 def pattern_counts(docs: DataFrame, words: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and ``patterns``, the count of each pattern in the whole text."""
+    """The kept columns and ``patterns``: how many clauses of the whole text have each pattern as their heaviest."""
     given = docs.select(*keep, "text")
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "patterns array<int>"])
     insults = np.sort(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = grammar()
+        machines = grammar()
         fixed = _fixed()
         for batch in batches:
             for part in tc.row_chunks(batch):
-                counts = _patterns(tc.Words(part.column("text"), lower=True), insults, fixed, machine)
+                counts = _patterns(tc.Words(part.column("text"), lower=True), insults, fixed, machines)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel(), pa.int32()), len(PATTERNS)).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], flat], names=[*part.schema.names[:-1], "patterns"])
 
@@ -162,7 +203,7 @@ def _member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
 
 
-def _patterns(w: tc.Words, insults: np.ndarray, fixed: tuple[np.ndarray, np.ndarray], machine: tuple[list[list[int]], list[int]]) -> np.ndarray:
+def _patterns(w: tc.Words, insults: np.ndarray, fixed: tuple[np.ndarray, np.ndarray], machines: Grammar) -> np.ndarray:
     whole, begins = _keys(w)
     symbol = np.full(len(whole), PLAIN)
     known = _member(whole, fixed[0])
@@ -180,18 +221,20 @@ def _patterns(w: tc.Words, insults: np.ndarray, fixed: tuple[np.ndarray, np.ndar
     gap = np.append(breaks[w.starts[1:]] > breaks[w.ends[:-1]], True) | _STOP[w.data[w.ends - 1]] | (w.left == 1)
     clause = np.concatenate(([0], np.cumsum(gap)[:-1]))
     begin = np.flatnonzero(np.diff(clause, prepend=-1))
-    delta, flags = machine
+    weight = prior()
     for c in np.unique(clause[hits]):
         a, b = begin[c], begin[c + 1] if c + 1 < len(begin) else last + 1
-        state = 0
-        # The machine moves only at marked words and steps its reach down in between.
-        for s in symbol[a:b].tolist():
-            if s == INSULT or s == THREAT:
-                counts[w.doc[a], 8 * (s == THREAT) + flags[state]] += 1
-            state = delta[state][s]
+        found = read_clause(symbol[a:b].tolist(), machines)
+        counts[w.doc[a], clause_pattern(found, weight)] += 1
     return counts
 
 
+def clause_pattern(found: list[int], weight: np.ndarray) -> int:
+    """The heaviest pattern of a clause's hits, the last of equal ones, and 16 more if several hits are negated and reported alike."""
+    best = max(found, key=lambda p: (weight[p], p))
+    return best + 16 * (sum(p & 6 == best & 6 for p in found) > 1)
+
+
 def features(patterns: np.ndarray) -> np.ndarray:
     return np.hstack([np.log2(1.0 + patterns), np.ones((len(patterns), 1))])
 

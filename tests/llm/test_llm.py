@@ -9,10 +9,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from furrow.llm import components, decontamination, learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
+from furrow.llm import textcore as tc
 from furrow.llm.lattice import Lattice, Pieces
 from furrow.llm.storage import Scratch
 
@@ -78,6 +80,22 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_digest(empty).count() == 0
 
 
+def test_substring_sketch_of_any_width_loses_no_window(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SKETCH_ANCHORS", 50)  # several sketches a partition
+    runs = lambda width: sorted(map(tuple, substring_dedup.repeated_runs(docs, Scratch(spark, "test"), width=width).collect()))
+    want = runs(None)
+    assert want and all(runs(width) == want for width in (1, 7, 512))
+
+
+@pytest.mark.parametrize("width", [3, 1 << 12])
+def test_merged_sketch_equals_counting_every_cell(spark, width):
+    rows = spark.range(400).select((F.col("id") % 150).alias("anchor")).repartition(5)
+    got = sorted(map(tuple, substring_dedup.sketch(rows, 2, width).collect()))
+    cells = [F.struct(F.lit(r).alias("row"), substring_dedup._cell(r, width).alias("cell")) for r in (0, 1)]
+    count = rows.select(F.inline(F.array(*cells))).groupBy("row", "cell").count().filter("count > 1").collect()
+    assert got == sorted((r["row"], r["cell"], min(r["count"], 255)) for r in count)
+
+
 def groups(texts, n, percent):
     sets = {}
     for d, t in texts.items():
@@ -209,16 +227,49 @@ def test_toxicity_learns_words_and_grammar(spark, empty):
     assert toxicity.fit(sample.limit(0)).words.size == 0
 
 
-def test_transducers():
-    delta, flags = toxicity.grammar()
-    state = 0
-    for s in (toxicity.NEGATION, toxicity.PLAIN):
-        state = delta[state][s]
-    assert flags[state] == 4
-    for s in [toxicity.PLAIN] * 3:
-        state = delta[state][s]
-    assert flags[state] == 0
-    assert flags[delta[delta[0][toxicity.REPORT]][toxicity.TARGET]] == 3
+def test_grammar_equals_reading_every_clause():
+    """All clauses of up to four words against the rules read one hit at a time."""
+    t = toxicity
+    machines = t.grammar()
+    for n in range(1, 5):
+        for clause in itertools.product(range(7), repeat=n):
+            want = []
+            for i, s in enumerate(clause):
+                if s not in (t.INSULT, t.THREAT):
+                    continue
+                before, after = clause[:i][::-1], clause[i + 1 :]
+                near = lambda words, symbols: next((w for w in words[:6] if w in (*symbols, t.REPORT)), t.REPORT) != t.REPORT  # noqa: B023, E731
+                front = (t.OBJECT,) if s == t.THREAT else (t.TARGET, t.OBJECT)
+                targeted = near(before, front) or near(after, (t.TARGET, t.OBJECT))
+                want.append(8 * (s == t.THREAT) + 4 * (t.NEGATION in before[:3]) + 2 * (t.REPORT in clause[:i] + after) + targeted)
+            assert t.read_clause(list(clause), machines) == want
+
+
+@pytest.mark.parametrize(("text", "threat", "negated", "reported", "targeted"), [
+    ("I will kill you", 1, 0, 0, 1),
+    ("moron you", 0, 0, 0, 1),
+    ("you kill", 1, 0, 0, 0),
+    ("moron, said he", 0, 0, 1, 0),
+    ("he called you a moron", 0, 0, 1, 1),
+    ("you are not a moron", 0, 1, 0, 1),
+    ("ich werde dich töten", 1, 0, 0, 1),
+    ("moron! said he", 0, 0, 0, 0),
+])
+def test_clauses_count_once_with_their_heaviest_pattern(spark, text, threat, negated, reported, targeted):
+    insults = toxicity._keys(tc.Words(pa.array(["moron"]), lower=True))[0]
+    row = spark.createDataFrame([(text,)], "text string")
+    counts = toxicity.pattern_counts(row, insults, ()).first()["patterns"]
+    assert [i for i, n in enumerate(counts) if n] == [8 * threat + 4 * negated + 2 * reported + targeted] and sum(counts) == 1
+    again = toxicity.pattern_counts(row.selectExpr("concat(text, ' moron. ', text) AS text"), insults, ()).first()["patterns"]
+    assert sum(again) == 2 + text.count("!")  # two hits of a clause count once
+
+
+def test_several_hits_mark_a_clause():
+    weight = toxicity.prior()
+    assert toxicity.clause_pattern([0], weight) == 0 and toxicity.clause_pattern([0, 1], weight) == 17
+    assert toxicity.clause_pattern([0, 4], weight) == 0  # the negated one adds nothing
+    assert toxicity.clause_pattern([8, 0], weight) == 24  # the last of equal weight
+    assert toxicity.clause_pattern([2, 3], weight) == 19
 
 
 def test_token_counts_equal_the_library(spark, docs, empty):
