@@ -44,7 +44,7 @@ STAGES = [
     ("benchmark decontamination", benchmarks),
     ("mixing", mix),
 ]
-#: The draws of the mix are not expressible in SQL; tests hold each stage against a brute-force version.
+#: The draws of the mix are not expressible in SQL. Tests hold the operators against brute force; of the chain they check columns and counts only.
 ORACLE_SQL = None
 
 
