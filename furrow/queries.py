@@ -266,10 +266,10 @@ add("n9_rounded", lambda d: anonymize.rounded(d).select(*IDS, "Longitude", "Lati
 
 # Gridded maps.
 add("snk6_cell_means", lambda d: raster.cell_means(d).select("field_id", "cell_x", "cell_y", r6("value").alias("value"), "n"), "t AS (SELECT 1) SELECT field_id, floor(X / 5)::BIGINT AS cell_x, floor(Y / 5)::BIGINT AS cell_y, round(avg(Flow), 6) AS value, count(*) AS n FROM pts WHERE Flow IS NOT NULL GROUP BY 1, 2, 3")
-_GRID = """p AS (SELECT * FROM pts WHERE X < 435060 AND row_id < 2500), b AS (SELECT field_id, floor(min(X) / 4)::BIGINT AS x0, floor(max(X) / 4)::BIGINT AS x1, floor(min(Y) / 4)::BIGINT AS y0, floor(max(Y) / 4)::BIGINT AS y1 FROM p GROUP BY 1),
+_GRID = """b AS (SELECT field_id, floor(min(X) / 4)::BIGINT AS x0, floor(max(X) / 4)::BIGINT AS x1, floor(min(Y) / 4)::BIGINT AS y0, floor(max(Y) / 4)::BIGINT AS y1 FROM pts GROUP BY 1),
 c AS (SELECT field_id, cell_x, y0, y1 FROM (SELECT *, unnest(range(x0 - 5, x1 + 6)) AS cell_x FROM b)), g AS (SELECT field_id, cell_x, unnest(range(y0 - 5, y1 + 6)) AS cell_y FROM c),
-n AS (SELECT g.field_id, cell_x, cell_y, Flow AS v, sqrt(power((cell_x + 0.5e0) * 4 - X, 2) + power((cell_y + 0.5e0) * 4 - Y, 2)) AS d FROM g JOIN p ON g.field_id = p.field_id AND Flow IS NOT NULL)"""
-add("snk7_idw", lambda d: raster.interpolate(d, 4, "Flow", "idw").select("field_id", "cell_x", "cell_y", r6("value").alias("value")), f"{_GRID} SELECT field_id, cell_x, cell_y, round(sum(v / (d * d)) / sum(1 / (d * d)), 6) AS value FROM n WHERE d <= 60 GROUP BY 1, 2, 3")
+n AS (SELECT g.field_id, cell_x, cell_y, Flow AS v, sqrt(power((cell_x + 0.5e0) * 4 - X, 2) + power((cell_y + 0.5e0) * 4 - Y, 2)) AS d FROM g JOIN pts ON g.field_id = pts.field_id AND Flow IS NOT NULL)"""
+add("snk7_idw", lambda d: raster.interpolate(d, 4, "Flow", "idw").select("field_id", "cell_x", "cell_y", r6("value").alias("value")), f"{_GRID} SELECT field_id, cell_x, cell_y, round(coalesce(avg(v) FILTER (d < 1e-12), sum(v / (d * d)) FILTER (d >= 1e-12) / sum(1 / (d * d)) FILTER (d >= 1e-12)), 6) AS value FROM n WHERE d <= 60 GROUP BY 1, 2, 3")
 add("snk7_nearest", lambda d: raster.interpolate(d, 4, "Flow", "nearest").select("field_id", "cell_x", "cell_y", "value"), f"{_GRID} SELECT field_id, cell_x, cell_y, first(v ORDER BY d, v) AS value FROM n WHERE d <= 80 GROUP BY 1, 2, 3")
 
 # Pipelines.

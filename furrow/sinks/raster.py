@@ -44,7 +44,8 @@ def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int) -
 def interpolate(df: DataFrame, cell: float = 1, column: str = "Yield_kg_ha", method: str = "auto", margin: int = 5) -> DataFrame:
     """Rows (cell_x, cell_y, value); ``auto`` is a spline for few points, else inverse distances.
 
-    Inverse distances: squared, within 15 cells.  Nearest: within 20 cells, ties
+    Inverse distances: squared, within 15 cells; points at a cell's centre
+    give it their mean value.  Nearest: within 20 cells, ties
     to the smaller value.  Cells with no point near are left out.
     """
     if method not in ("auto", "tps", "idw", "nearest"):
