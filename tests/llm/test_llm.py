@@ -59,10 +59,9 @@ def rows(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def test_substring_dedup(docs, empty):
-    got = rows(substring_dedup.substring_digest(docs))
-    texts = {d: WORD.findall(t or "") for d, t, *_ in corpus()}
-    first = {}
+def without_repeats(texts):
+    """The words of each text that no window of 50, also starting in a text of a smaller id, covers."""
+    first, kept = {}, {}
     for d in sorted(texts):
         for i in range(len(texts[d]) - 49):
             first.setdefault(tuple(texts[d][i : i + 50]), d)
@@ -71,8 +70,16 @@ def test_substring_dedup(docs, empty):
         for i in range(len(w) - 49):
             if first[tuple(w[i : i + 50])] < d:
                 gone |= set(range(i, i + 50))
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        kept[d] = [x for i, x in enumerate(w) if i not in gone]
+    return kept
+
+
+def test_substring_dedup(docs, empty):
+    got = rows(substring_dedup.substring_digest(docs))
+    texts = {d: WORD.findall(t or "") for d, t, *_ in corpus()}
+    for d, kept in without_repeats(texts).items():
+        digest = hashlib.sha256(" ".join(kept).encode()).hexdigest()
+        assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(texts[d]), len(texts[d]) - len(kept), digest)
     assert any(r["n_removed"] for r in got.values())
     left = substring_dedup.substring_dedup(docs)
     assert left.columns == docs.columns
@@ -173,24 +180,29 @@ def test_components(spark):
     assert found == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
 
 
-def test_mixing_targets_and_bounds(spark, docs, empty):
-    mix = mixing.mix_sources(docs, block_words=8, shard_slots=64)
-    got = mixing.taken_words(mix).collect()
-    assert len(got) == docs.count()
-    sizes = {}
-    for d, t, _, s, *_ in corpus():
-        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
-    names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
+def targets(sizes):
+    """Shares by weight, taken again from what is open until no source is above 3 times its size."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weight, target, open_, left = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, set(sizes), sum(sizes.values())
     while open_:
         share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
         over = {s for s in open_ if share[s] > 3 * sizes[s]}
         if not over:
-            target |= share
-            break
+            return target | share
         target |= {s: 3.0 * sizes[s] for s in over}
         left -= sum(3 * sizes[s] for s in over)
         open_ -= over
+    return target
+
+
+def test_mixing_targets_and_bounds(spark, docs, empty):
+    mix = mixing.mix_sources(docs, block_words=8, shard_slots=64)
+    got = mixing.taken_words(mix).collect()
+    assert len(got) == docs.count()
+    sizes = {}
+    for d, t, _, s, *_ in corpus():
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    target = targets(sizes)
     source = {d: s for d, _, _, s, *_ in corpus()}
     taken = Counter()
     for r in got:
@@ -306,14 +318,17 @@ def test_labelled_sample_is_bounded(spark, docs):
     assert learning.labelled_sample(docs, labels, "toxic", F.lit(True), 1).count() == 1
 
 
+def repeated(w, n):
+    """The places of the words that windows of n, found twice or more, cover."""
+    seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+
+
 def test_quality_rules(docs, empty):
     got = rows(quality_rules.quality_rules(docs))
     for d, t, *_ in corpus():
         w = WORD.findall(t or "")
-        cover = {}
-        for n in (3, *quality_rules.MAX_GRAM_PERCENT):
-            seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-            cover[n] = {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        cover = {n: repeated(w, n) for n in (3, *quality_rules.MAX_GRAM_PERCENT)}
         assert got[d]["n_words"] == len(w) and got[d]["n_repeat_words"] == len(cover[3])
         assert all(got[d][f"dup_chars_{n}"] == sum(len(w[j]) for j in cover[n]) for n in quality_rules.MAX_GRAM_PERCENT)
     assert quality_rules.keep_good(docs).columns == docs.columns
@@ -346,16 +361,10 @@ def test_url_rules_equal_trying_every_rule(spark):
     assert url_filter.url_filter(df, []).filter("verdict <> 'allow'").count() == 0
 
 
-def test_decontamination_equals_trying_every_window(spark, docs, empty):
-    rng = random.Random(9)
-    items = [words(rng, n) for n in (3, 15, 30, 50)]
-    changed = list(items[3])
-    changed[7] = "changed"
-    texts = [words(rng, 40) + items[1] + words(rng, 5), changed + words(rng, 30), words(rng, 60), items[2][:14] + words(rng, 40), items[0], words(rng, 10) + items[0], items[2]]
-    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(50, None), (51, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
-    want = set()
-    for d, t in enumerate(texts):
+def leaking(texts, items):
+    """(id, item) of every text with a window, as long as the item, of weighted shingle similarity 0.8."""
+    found = set()
+    for d, t in texts.items():
         for i, item in enumerate(items):
             m = min(5, len(item))
             y = {tuple(item[j : j + m]) for j in range(len(item) - m + 1)}
@@ -364,7 +373,19 @@ def test_decontamination_equals_trying_every_window(spark, docs, empty):
                 x = {tuple(w[j : j + m]) for j in range(len(w) - m + 1)}
                 size = lambda g: sum(len(" ".join(s)) for s in g)
                 if x and 100 * size(x & y) >= 80 * size(x | y):
-                    want.add((d, i))
+                    found.add((d, i))
+    return found
+
+
+def test_decontamination_equals_trying_every_window(spark, docs, empty):
+    rng = random.Random(9)
+    items = [words(rng, n) for n in (3, 15, 30, 50)]
+    changed = list(items[3])
+    changed[7] = "changed"
+    texts = [words(rng, 40) + items[1] + words(rng, 5), changed + words(rng, 30), words(rng, 60), items[2][:14] + words(rng, 40), items[0], words(rng, 10) + items[0], items[2]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(50, None), (51, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
+    want = leaking(dict(enumerate(texts)), items)
     got = decontamination.leaks(table, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) >= 4
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
@@ -436,3 +457,87 @@ def test_pipeline_stages(spark):
         assert 0 < docs.count() <= before
         before = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == before
+
+
+def good_by_hand(text):
+    w = WORD.findall(text or "")
+    chars = sum(map(len, w))
+    again, seen = 0, set()
+    for line in (text or "").split("\n"):
+        of_line = WORD.findall(line)
+        if of_line and line in seen:
+            again += sum(map(len, of_line))
+        seen.add(line)
+    if len(w) < 50 or 100 * len(repeated(w, 3)) > 50 * len(w) or 100 * again > quality_rules.MAX_LINE_PERCENT * chars:
+        return False
+    return all(100 * sum(len(w[j]) for j in repeated(w, n)) <= most * chars for n, most in quality_rules.MAX_GRAM_PERCENT.items())
+
+
+def pipeline_rows(rng, items):
+    """Copies, shared passages, leaks, junk and nulls; a repeated row, null ids, and a text that is nothing but a shared passage."""
+    base, passage, line = words(rng, 130), words(rng, 60), " ".join(words(rng, 12))
+    near = [[w + "x" if i % 130 < k else w for i, w in enumerate(base)] for k in (1, 4, 20)]
+    texts = [words(rng, 70) + passage + words(rng, 30), base, *near, passage, passage + words(rng, 80), words(rng, 90)]
+    texts += [words(rng, 60) + items[0] + words(rng, 40), items[1][:1] + ["other"] + items[1][2:] + words(rng, 50), items[1][:8] + words(rng, 60), words(rng, 49), words(rng, 50), ["a"] * 300]
+    found = [(i * 7, " ".join(t)) for i, t in enumerate(texts)]
+    found += [(500, "\n".join([line] * 4 + [" ".join(words(rng, 90))])), (501, None), (502, ""), (None, " ".join(base)), (None, " ".join(words(rng, 200))), found[7], (600, " ".join(words(rng, 1500)))]
+    return [(d, t, "en", None if k % 4 == 0 else f"s{k % 3}", len(t or ""), "clash") for k, (d, t) in enumerate(found[:-2])] + [(*found[7], "en", "s1", len(found[7][1]), "clash"), (*found[-1], "en", "s2", len(found[-1][1]), "clash")]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on its own input, by trying everything; of the mix, targets and bounds, as its draws are its own."""
+    import corpus_pipeline
+
+    rng, last = random.Random(4), 1 << 62
+    items = [words(rng, n) for n in (20, 40)]
+    spark.createDataFrame(pipeline_rows(rng, items), SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    scratch = Scratch(spark, "chain")
+
+    def run(name, docs):
+        after = scratch.keep(stages[name](spark, docs, str(tmp_path)), name.replace(" ", "-"))
+        assert name == "mixing" or after.columns == docs.columns
+        return after, sorted(map(tuple, after.collect()), key=str)
+
+    def by_id(found):
+        return {(last if r[0] is None else r[0]): r for r in found}
+
+    given = list(map(tuple, table.collect()))
+    docs, got = run("quality rules", table)
+    assert got == sorted((r for r in given if good_by_hand(r[1])), key=str) and 10 < len(got) < len(given)
+
+    units = {(last if r[0] is None else r[0], r[1]): r for r in got}
+    root = groups({u: u[1] for u in units}, 5, 80)[1]
+    docs, after = run("near-dedup", docs)
+    rest = lambda r: (r[0], r[1])  # noqa: E731  of repeated rows any may stay
+    assert sorted(map(rest, after), key=str) == sorted((rest(units[u]) for u in units if root[u] == u), key=str) and len(after) < len(units) < len(got)
+
+    given = by_id(after)
+    kept = without_repeats({d: WORD.findall(r[1]) for d, r in given.items()})
+    want = []
+    for d, r in given.items():
+        text = r[1] if len(kept[d]) == len(WORD.findall(r[1])) else " ".join(kept[d])
+        if kept[d]:
+            want.append((r[0], text, *r[2:4], r[4] if text == r[1] else len(text), r[5]))
+    docs, after = run("substring dedup", docs)
+    assert after == sorted(want, key=str) and len(after) < len(given) and any(r[1] != given[d][1] for d, r in by_id(after).items())
+
+    given = by_id(after)
+    gone = {d for d, _ in leaking({d: WORD.findall(r[1]) for d, r in given.items()}, items)}
+    docs, after = run("benchmark decontamination", docs)
+    assert after == sorted((r for d, r in given.items() if d not in gone), key=str) and len(gone) == 2
+
+    sizes = {}
+    for r in after:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(WORD.findall(r[1]))
+    target, source, size = targets(sizes), {r[0]: r[3] for r in after}, {r[0]: len(WORD.findall(r[1])) for r in after}
+    mixed, out = run("mixing", docs)
+    assert {r["doc_id"]: r["size"] for r in mixed.collect()} == size and len(out) == len(after)
+    for r in mixed.collect():
+        assert r["source_size"] == sizes[source[r["doc_id"]]] and r["target"] == pytest.approx(target[source[r["doc_id"]]]) and 0 <= r["taken"] <= 3 * r["size"]
+    assert sum(r["taken"] for r in mixed.collect()) == pytest.approx(sum(sizes.values()), abs=2 * mixing.BLOCK_WORDS * len(sizes))
+    # Repeated rows differ in source here, and which of them stays decides what the mix sees.
+    whole = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert whole == size
