@@ -215,6 +215,29 @@ def test_mixing_targets_and_bounds(spark, docs, empty):
     assert mixing.taken_words(mixing.mix_sources(empty)).count() == 0
 
 
+def test_mixing_takes_the_words_of_its_slots(spark, docs):
+    """Every source's words laid out one by one, and every slot's block read from them."""
+    mix = mixing.mix_sources(docs.unionByName(docs.filter("doc_id % 2 = 0")), block_words=8, shard_slots=64)
+    streams, slots = {}, [(r["sid"], r["place"], r["block"]) for r in mix.slots.collect()]
+    for r in sorted((r for r in mix.rows.collect() if r["size"]), key=lambda r: (r["sid"], r["start"])):
+        stream = streams.setdefault(r["sid"], [])
+        assert r["start"] == len(stream)
+        stream += [(r["start"], r["doc_id"])] * r["size"]
+    want, turns = Counter(), {}
+    for sid, place, block in slots:
+        n = math.ceil(len(streams[sid]) / 8)
+        turns.setdefault((sid, place // n), []).append(block)
+        want.update((sid, *w) for w in streams[sid][8 * block : 8 * block + 8])
+    assert all(len(set(b)) == len(b) for b in turns.values()) and len(slots) == len({s[:2] for s in slots})
+    got = Counter()
+    for r in mixing.taken_words(mix).collect():
+        got[r["doc_id"]] += r["taken"]
+    by_doc = Counter()
+    for (_, _, d), n in want.items():
+        by_doc[d] += n
+    assert +got == by_doc and sum(by_doc.values()) > 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(spark, n):
     df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(1), F.lit(0).cast("long")).alias("p"))
