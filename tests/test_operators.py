@@ -294,3 +294,22 @@ def test_best_delay_query_finds_a_shift_of_thirteen_rows(spark, tmp_path):
     rows = [(i, true[max(i - 13, 0)], "view") for i in range(600)]
     spark.createDataFrame(rows, "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert queries.QUERIES["x9_best_delay"](spark, str(tmp_path)).first()["delay"] == 13
+
+
+def test_clamped_histogram_of_equal_quantiles_and_repeated_values(spark):
+    """A field of one point is in the last bin, as in the SQL; quantiles weigh two neighbours also if they are equal."""
+    values = [2.2] * 20 + [v / 7 for v in range(20, 45)] + [11.1] * 20
+    d = points(spark, field_id=[7] + [8] * len(values), Flow=[3.0, *values])
+    got = {(r["field_id"], r["bin"]): r["n"] for r in audit.clamped_histogram(d, "Flow").collect()}
+    v, want = sorted(values), {(7, 49): 1}
+
+    def quantile(q):
+        at = (len(v) - 1) * q
+        d = at - int(at)
+        return v[int(at)] * (1 - d) + v[int(at) + 1] * d
+
+    a, b = quantile(0.02), quantile(0.98)
+    for x in v:
+        at = (8, min(int((min(max(x, a), b) - a) / (b - a) * 50), 49))
+        want[at] = want.get(at, 0) + 1
+    assert got == want
