@@ -45,20 +45,32 @@ _BETA = [
 ]
 
 
-def utm_zone(df: DataFrame) -> Column:
-    """The zone of the field's first row."""
-    return F.floor((F.first("Longitude").over(order.by_row(df)) + 180) / 6).cast("int") + 1
+def utm_zone(df: DataFrame) -> DataFrame:
+    """One row ``__zone``: the zone of the table's first row, so that all its fields are on one grid."""
+    first = F.min_by("Longitude", F.struct(*(F.col(c) for c in ("field_id", "row_id") if has(df, c)), "Longitude"))
+    return df.agg((F.floor((first + 180) / 6).cast("int") + 1).alias("__zone"))
+
+
+def _asinh(x: Column) -> Column:
+    """As C libraries have it: Spark's own loses digits near 0."""
+    a = F.abs(x)
+    return F.signum(x) * F.log1p(a + a * a / (1 + F.sqrt(1 + a * a)))
+
+
+def _atanh(x: Column) -> Column:
+    a = F.abs(x)
+    return F.signum(x) * 0.5 * F.when(a < 0.5, F.log1p((a + a) + (a + a) * a / (1 - a))).otherwise(F.log1p((a + a) / (1 - a)))
 
 
 def latlon_to_utm(df: DataFrame, zone: int | None = None) -> DataFrame:
     """Adds X and Y in metres, northern grid; nulls stay null."""
     need(df, "abort", "Longitude", "Latitude")
     columns = [c for c in df.columns if c not in ("X", "Y")]
-    df = df.withColumn("__zone", F.lit(zone) if zone is not None else utm_zone(df))
+    df = df.withColumn("__zone", F.lit(zone)) if zone is not None else df.crossJoin(F.broadcast(utm_zone(df)))
     lat, lon = F.radians("Latitude"), F.radians(F.col("Longitude") - (F.col("__zone") * 6 - 183))
-    conformal = F.sinh(F.atanh(F.sin(lat)) - _E * F.atanh(_E * F.sin(lat)))
+    conformal = F.sinh(_atanh(F.sin(lat)) - _E * _atanh(_E * F.sin(lat)))
     df = df.withColumns({"__t": conformal, "__l": lon})
-    df = df.withColumns({"__xi": F.atan2(F.col("__t"), F.cos("__l")), "__eta": F.asinh(F.sin("__l") / F.sqrt(F.col("__t") * F.col("__t") + F.cos("__l") * F.cos("__l")))})
+    df = df.withColumns({"__xi": F.atan2(F.col("__t"), F.cos("__l")), "__eta": _asinh(F.sin("__l") / F.sqrt(F.col("__t") * F.col("__t") + F.cos("__l") * F.cos("__l")))})
     east, north = F.col("__eta"), F.col("__xi")
     for j, a in enumerate(_ALPHA, 1):
         east = east + a * F.cos(2 * j * F.col("__xi")) * F.sinh(2 * j * F.col("__eta"))

@@ -22,6 +22,12 @@ def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
+def scaled(column: str, digits: int) -> Column:
+    """Rounded as DuckDB does it, by a power of ten; ``round`` goes by the shortest decimals, which part from that near a half."""
+    c = F.col(column)
+    return (F.signum(c) * F.floor(F.abs(c) * 10.0**digits + 0.5) / 10.0**digits).alias(column)
+
+
 def add(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
     """Registers a query over the points; ``sql`` starts after a CTE ``pts`` of them."""
     QUERIES[name] = lambda spark, sf_dir: run(yield_points(spark, sf_dir))
@@ -140,7 +146,7 @@ b AS (SELECT *, sinh(atanh(sin(p)) - {e!r} * atanh({e!r} * sin(p))) AS t FROM a)
 SELECT field_id, row_id, round({geo.EASTING!r} + {geo.K0 * geo._RADIUS!r} * ({east}), 4) AS X, round({geo.K0 * geo._RADIUS!r} * ({north}), 4) AS Y FROM c"""
 
 
-add("g1_latlon_to_utm", lambda d: geo.latlon_to_utm(d).select(*IDS, F.round("X", 4).alias("X"), F.round("Y", 4).alias("Y")), _utm_sql())
+add("g1_latlon_to_utm", lambda d: geo.latlon_to_utm(d).select(*IDS, scaled("X", 4), scaled("Y", 4)), _utm_sql())
 add("g5_polygons", lambda d: geo.polygons(d).select("field_id", F.col("orig_row_id").alias("row_id"), F.round(F.col("geometry")[0]["x"], 8).alias("x0"), F.round(F.col("geometry")[0]["y"], 8).alias("y0"), F.round(F.col("geometry")[2]["x"], 8).alias("x2"), F.round(F.col("geometry")[2]["y"], 8).alias("y2"), F.round("Flow_kg_s", 9).alias("Flow_kg_s"), r6("Altitude_m").alias("Altitude_m")), f"""h AS (SELECT *, radians(coalesce(degrees(atan2(coalesce(lag(Longitude) OVER w, Longitude) - Longitude, coalesce(lag(Latitude) OVER w, Latitude) - Latitude)), 0)) AS a, 4e0 AS sw, Distance * 0.3048e0 / 2 AS l, 1 / (111320 * cos(radians(Latitude))) AS kx, 1 / 110540e0 AS ky FROM pts {W})
 SELECT field_id, row_id, round(Longitude + (sin(a) * l + cos(a) * sw) * kx, 8) AS x0, round(Latitude + (cos(a) * l - sin(a) * sw) * ky, 8) AS y0, round(Longitude - (sin(a) * l + cos(a) * sw) * kx, 8) AS x2, round(Latitude - (cos(a) * l - sin(a) * sw) * ky, 8) AS y2, round(Flow * 0.453592e0, 9) AS Flow_kg_s, round(Altitude * 0.3048e0, 6) AS Altitude_m FROM h""")
 add("g7_yield_summary", lambda d: geo.yield_summary(geo.polygons(d.withColumn("Yield_kg_ha", F.col("Flow") * 100))).select("field_id", "n", *(F.round(c, 3).alias(c) for c in ("Yield_mean", "Yield_sd", "Yield_min", "Yield_max"))), "t AS (SELECT 1) SELECT field_id, count(*) AS n, round(avg(Flow * 100), 3) AS Yield_mean, round(stddev_samp(Flow * 100), 3) AS Yield_sd, round(min(Flow * 100), 3) AS Yield_min, round(max(Flow * 100), 3) AS Yield_max FROM pts GROUP BY 1")

@@ -313,3 +313,11 @@ def test_clamped_histogram_of_equal_quantiles_and_repeated_values(spark):
         at = (8, min(int((min(max(x, a), b) - a) / (b - a) * 50), 49))
         want[at] = want.get(at, 0) + 1
     assert got == want
+
+
+def test_utm_takes_one_zone_for_all_fields(spark):
+    """The zone of the table's first row, also for fields east of its border."""
+    d = points(spark, field_id=[2, 1], Longitude=[-65.9, -66.1], Latitude=[47.5, 47.5])
+    at = {r["field_id"]: r["X"] for r in geo.latlon_to_utm(d).collect()}
+    fixed = {r["field_id"]: r["X"] for r in geo.latlon_to_utm(d, 19).collect()}
+    assert at == fixed and at[2] > at[1]
