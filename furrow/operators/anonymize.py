@@ -45,10 +45,13 @@ def anonymize_coordinates(df: DataFrame, system: str = "latlon", key_file: str |
     need(df, "abort", x, y)
     rng = random.Random(seed)
     span = 1.0 if system == "latlon" else 10_000.0
-    n = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).count()
+    # The row whose salted hash is the smallest is as random as one at a random place, and needs neither order nor memory.
+    named = [*order.keys(df), *(["row_id"] if has(df, "row_id") else []), x, y]
+    draw = F.xxhash64(F.lit(rng.getrandbits(62)), *named)
+    n, at = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*"), F.min(F.struct(draw.alias("draw"), F.col(x).alias("x"), F.col(y).alias("y")))).first()
     if not n:
         raise ValueError("no coordinates to anonymise")
-    at = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(*order.keys(df), "row_id" if has(df, "row_id") else x, x, y).offset(rng.randrange(n)).select(x, y).first()
+    at = at["x"], at["y"]
     dx, dy = at[0] + rng.uniform(-span, span), at[1] + rng.uniform(-span, span)
     key = {"version": 2, "system": system, "dx": dx, "dy": dy, "zone": zone, "n": n}
     if key_file:

@@ -321,3 +321,18 @@ def test_utm_takes_one_zone_for_all_fields(spark):
     at = {r["field_id"]: r["X"] for r in geo.latlon_to_utm(d).collect()}
     fixed = {r["field_id"]: r["X"] for r in geo.latlon_to_utm(d, 19).collect()}
     assert at == fixed and at[2] > at[1]
+
+
+def test_anonymise_orders_no_rows(spark):
+    """The reference row is drawn by an aggregate: no plan takes the rows up to it to the driver."""
+    d = points(spark, Longitude=[float(i) for i in range(50)], Latitude=[0.0] * 50)
+    calls = []
+    kept = type(d).orderBy
+    type(d).orderBy = lambda self, *a, **k: calls.append(a) or kept(self, *a, **k)
+    try:
+        keys = [anonymize.anonymize_coordinates(d.repartition(n), seed=s)[1] for s, n in ((1, 1), (1, 5), (2, 1), (3, 1))]
+    finally:
+        type(d).orderBy = kept
+    assert not calls and keys[0] == keys[1] and keys[0]["n"] == 50
+    # dx is a drawn row's value and an offset of at most a degree.
+    assert len({round(k["dx"]) for k in keys}) > 1 and all(-1 <= k["dx"] <= 50 and -1 <= k["dy"] <= 1 for k in keys)
