@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 _own_dir: str | None = None
 #: A written table needs the shuffle files of its job no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark broadcasts a table by its compressed size, which for sorted hashes is a tenth of what the driver then holds.
+_FACTOR, COMPRESSION = "spark.sql.sources.fileCompressionFactor", 10.0
 #: Bytes of rows that ``small`` may broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
 
@@ -42,20 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
-    """Holds the setting while any thread of the session writes, and puts back what it was after the last."""
+def _settings_of_writers(spark: SparkSession) -> Iterator[None]:
+    """Shuffles end with the job, and tables count by their size in memory: holds the settings while any thread of the session writes, and puts back what they were after the last."""
     key = id(spark)
     with _lock:
-        held = _writers.setdefault(key, [0, spark.conf.get(_CLEANUP, "false")])
+        before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _FACTOR: spark.conf.get(_FACTOR, "1.0")}
+        held = _writers.setdefault(key, [0, before])
         held[0] += 1
         spark.conf.set(_CLEANUP, "true")
+        spark.conf.set(_FACTOR, str(max(COMPRESSION, float(held[1][_FACTOR]))))
     try:
         yield
     finally:
         with _lock:
             held[0] -= 1
             if not held[0]:
-                spark.conf.set(_CLEANUP, _writers.pop(key)[1])
+                for name, value in _writers.pop(key)[1].items():
+                    spark.conf.set(name, value)
 
 
 class Scratch:
@@ -78,7 +83,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        with _shuffles_end_with_the_job(self.spark):
+        with _settings_of_writers(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(schema).parquet(path)
         self.paths[id(table)] = (table, path)
@@ -109,5 +114,5 @@ def doc_crc(doc_id: Column | str) -> Column:
 
 
 def small(df: DataFrame, size: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """The table marked for broadcast if its counted bytes are within the limit; beyond it, joins shuffle it."""
-    return F.broadcast(df) if size <= limit else df
+    """The table marked for broadcast if its counted bytes are within the limit; beyond it, for a merge join, so that Spark's own guess cannot broadcast it."""
+    return F.broadcast(df) if size <= limit else df.hint("merge")

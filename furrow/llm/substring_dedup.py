@@ -31,6 +31,8 @@ DEPTH, LOAD = 2, 8
 PAGES, MAX_PAGE = 256, 1 << 24
 #: Anchors that one sketch of a partition takes; a partition with more of them makes several.
 SKETCH_ANCHORS = 1 << 20
+#: What a counter takes in the driver's memory when it is broadcast.
+CELL_BYTES = 64
 NO_ID = (1 << 63) - 1
 
 
@@ -138,9 +140,13 @@ def _cell(row: int, width: int):
 
 
 def estimated_repeated(rows: DataFrame, merged: DataFrame, depth: int, width: int) -> DataFrame:
-    """The anchors whose smallest counter is two or more, as one list for each document that has any."""
+    """The anchors whose smallest counter is two or more, as one list for each document that has any.
+
+    The counters grow with the input and compress well, so they are counted before a join may broadcast them.
+    """
+    sizes = {r["row"]: r["count"] for r in merged.groupBy("row").count().collect()}  # one number for each row of the sketch
     for r in range(depth):
-        hot = merged.filter(F.col("row") == r).select("cell")
+        hot = small(merged.filter(F.col("row") == r).select("cell"), CELL_BYTES * sizes.get(r, 0))
         rows = rows.withColumn("cell", _cell(r, width)).join(hot, "cell").drop("cell")
     return rows.groupBy("did", "th").agg(F.collect_list("anchor").alias("hot"))
 

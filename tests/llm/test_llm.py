@@ -564,3 +564,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     # Repeated rows differ in source here, and which of them stays decides what the mix sees.
     whole = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == size
+
+
+def test_growing_tables_are_not_broadcast_by_their_compressed_size(spark):
+    """A file of sorted numbers is small; joins with it, inside a kept job or by ``small`` beyond its limit, do not send it through the driver."""
+    from furrow.llm.storage import small
+
+    scratch = Scratch(spark, "sizes")
+    cells = scratch.keep(spark.range(400_000).select(F.col("id").alias("cell")), "cells")
+    rows = spark.range(400_000).select(F.col("id").alias("cell"), F.lit(1).alias("n"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(rows.join(cells, "cell"))
+    assert "BroadcastHashJoin" not in plan(rows.join(small(cells, substring_dedup.CELL_BYTES * 400_000, 1 << 20), "cell"))
+    assert "BroadcastHashJoin" in plan(rows.join(small(cells, 1000), "cell"))
