@@ -1,13 +1,13 @@
 """Benchmark decontamination with DataFrame operations only.
 
-Windows as long as a benchmark item, where a document shares a shingle with
-any item, get a SimHash of their words.  Fingerprints within a Hamming radius
-of R agree in at least one of R + 1 blocks, so an index on the blocks finds
-all of them.  A similar window may lie outside the radius, so a window and an
-item that share a shingle at the same place of both are a pair whatever their
+Windows start at every word.  Those as long as a benchmark item, where the places
+of shingles shared with it weigh enough for a match, get a SimHash of their words.
+Fingerprints within a Hamming radius of R agree in at least one of R + 1 blocks, so
+an index on the blocks finds all of them.  A similar window may lie outside the
+radius, so a window and the item for which it weighs enough are a pair whatever their
 fingerprints.  The exact weighted similarity of the shingle sets decides.
-A window that shares no shingle with any item has similarity 0, so none is
-lost by not fingerprinting it.
+A union weighs as much as the item at least, so no match is lost by not
+fingerprinting windows whose shared shingles weigh less than the share of it.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, did, th, item_id, start, n_words, similarity) of every window that matches an item.
+    """Rows (doc_id, did, th, item_id, start, n_words, similarity, level) of every window that matches an item.
 
-    A window has as many words as the item, or all of a shorter document's.
+    A window has as many words as the item, or all of a shorter document's; ``level``:
+    it shares a shingle with the item at the same place of both.
     Shingles weigh as many as they have characters; a match has
     100 * weight of the intersection >= percent * weight of the union.  An item of
     fewer words than a shingle is one shingle; items and documents without
@@ -74,45 +75,58 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent:
     lengths = sorted(r["m"] for r in items.select("m").distinct().collect())  # at most n numbers
     n_shingles = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
+    text = lambda *w: F.concat_ws(" ", *w)
+    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, s: acc + F.length(s))
     whole = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("th"), "text")
     given = whole.select("did", "th", words_of(F.col("text")).alias("ws"))
     places = []
     for m in lengths:
-        of_items = items.filter(F.col("m") == m).select("item_id", "size", F.posexplode(shingles(F.col("item"), m, F.xxhash64)).alias("off", "h")).distinct()
+        # The shingles of an item, each once, with its places, its weight and the item's.
+        cells = items.filter(F.col("m") == m).withColumn("s", shingles(F.col("item"), m, text)).withColumn("whole", weight(F.array_distinct("s")))
+        cells = cells.select("item_id", "size", "whole", F.posexplode(F.arrays_zip(shingles(F.col("item"), m, F.xxhash64).alias("h"), F.col("s"))).alias("off", "x"))
+        of_items = cells.groupBy("item_id", "size", "whole", "x.h").agg(F.max(F.length("x.s")).alias("w"), F.collect_set("off").alias("offs"))
         found = given.select("did", "th", F.size("ws").alias("len"), F.posexplode(shingles(F.col("ws"), m, F.xxhash64)).alias("pos", "h"))
-        hit = found.join(small(of_items, 40 * n_shingles), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("len") - F.col("size")))
-        places.append(hit.select("did", "th", start.alias("start"), "size", "item_id"))
+        hit = found.join(small(of_items, 64 * n_shingles), "h")
+        end = F.greatest(F.lit(0), F.col("len") - F.col("size"))
+        level = F.transform("offs", lambda off: F.greatest(F.lit(0), F.least(F.col("pos") - off, end)))
+        starts = F.sequence(F.greatest(F.lit(0), F.col("pos") + m - F.col("size")), F.least(F.col("pos"), end))
+        hit = hit.select("did", "th", "item_id", "size", "whole", "w", level.alias("levels"), F.explode(starts).alias("start"))
+        # A union is at least the item, so a window whose places of shared shingles weigh less is no match.
+        enough = hit.groupBy("did", "th", "item_id", "size", "whole", "start").agg(F.sum("w").alias("w"), F.max(F.array_contains("levels", F.col("start"))).alias("level"))
+        places.append(enough.filter(100 * F.col("w") >= percent * F.col("whole")).select("did", "th", "start", "size", "item_id", "level"))
     if not places:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, did long, th long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, did long, th long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double, level boolean")
     at = places[0]
     for more in places[1:]:
         at = at.unionByName(more)
-    aligned = scratch.keep(at.distinct(), "aligned")
-    at = aligned.select("did", "th", "start", "size").distinct().groupBy("did", "th").agg(F.collect_list(F.struct("start", "size")).alias("places"))
+    likely = scratch.keep(at, "likely")
+    at = likely.select("did", "th", "start", "size").distinct().groupBy("did", "th").agg(F.collect_list(F.struct("start", "size")).alias("places"))
     at = scratch.keep(at, "places")
 
     windows = whole.join(small(at, at.agg(F.coalesce(F.sum(48 + 16 * F.size("places")), F.lit(0))).first()[0]), ["did", "th"]).dropDuplicates(["did", "th"]).select("doc_id", "did", "th", words_of(F.col("text")).alias("ws"), F.explode("places").alias("p"))
     windows = windows.select("doc_id", "did", "th", "p.start", "p.size", F.slice("ws", F.col("p.start") + 1, F.col("p.size")).alias("window"))
     windows = scratch.keep(windows.withColumn("fp", simhash(F.col("window"))), "windows")
+    held = windows.agg(F.coalesce(F.sum(64 + 24 * F.size("window")), F.lit(0))).first()[0]
     index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
     near = windows.select("did", "th", "start", "size", "fp", F.inline(blocks(F.col("fp"), radius))).join(index, ["size", "block", "bits"])
     near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("did", "th", "start", "size", "item_id")
-    near = near.unionByName(aligned).distinct()
+    near = near.withColumn("level", F.lit(False)).unionByName(likely).groupBy("did", "th", "start", "size", "item_id").agg(F.max("level").alias("level"))
 
-    text = lambda *w: F.concat_ws(" ", *w)
-    both = near.join(windows.drop("fp"), ["did", "th", "start", "size"]).join(items.select("item_id", "item", "m"), "item_id")
+    both = near.join(small(windows.drop("fp"), held), ["did", "th", "start", "size"]).join(items.select("item_id", "item", "m"), "item_id")
     one, other = (F.coalesce(*(F.when(F.col("m") == m, F.array_distinct(shingles(F.col(c), m, text))) for m in lengths)) for c in ("window", "item"))
-    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, s: acc + F.length(s))
     both = both.withColumn("x", one).withColumn("y", other).withColumn("shared", weight(F.array_intersect("x", "y"))).withColumn("total", weight(F.array_union("x", "y")))
     match = both.filter((F.col("total") > 0) & (100 * F.col("shared") >= percent * F.col("total")))
-    return match.select("doc_id", "did", "th", "item_id", "start", F.size("window").alias("n_words"), (F.col("shared") / F.col("total")).alias("similarity"))
+    return match.select("doc_id", "did", "th", "item_id", "start", F.size("window").alias("n_words"), (F.col("shared") / F.col("total")).alias("similarity"), "level")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, start, n_words, similarity): the best window of each document and item that match, the first of equals."""
+    """Rows (doc_id, item_id, start, n_words, similarity) of each document and item that match.
+
+    The window is the best of those that share a shingle at the same place, or of all
+    if none of these matches; the first of equals.
+    """
     found = find_leaks(docs, benchmark)
-    best = found.groupBy("did", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"), F.first("doc_id").alias("doc_id"))
+    best = found.groupBy("did", "th", "item_id").agg(F.max(F.struct("level", "similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"), F.first("doc_id").alias("doc_id"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.n_words", "b.similarity")
 
 

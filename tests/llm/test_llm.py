@@ -566,6 +566,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert whole == size
 
 
+def test_decontamination_finds_windows_level_with_no_shingle(spark):
+    """Two insertions close together: only the window between the two level ones is similar enough."""
+    item = [f"w{i}" for i in range(60)]
+    item[5], item[54] = "a" * 65, "b" * 65
+    text = [f"x{i}" for i in range(10)] + item[:28] + ["X"] + item[28:32] + ["Y"] + item[32:] + [f"y{i}" for i in range(10)]
+    lower = [w.lower() for w in text]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(reversed(text)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert leaking({1: lower, 2: lower[::-1]}, [item]) == {(1, 0)}
+    found = decontamination.leaks(docs, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["start"]) for r in found] == [(1, 7, 11)] and found[0]["similarity"] > 0.8
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_growing_tables_are_not_broadcast_by_their_compressed_size(spark):
     """A file of sorted numbers is small; joins with it, inside a kept job or by ``small`` beyond its limit, do not send it through the driver."""
     from furrow.llm.storage import small
