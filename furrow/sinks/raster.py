@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from furrow.operators import order
 #: Points on which a thin plate spline is solved on the driver, at most; more are interpolated by distances.
 MAX_SPLINE_POINTS = 5000
 NO_DATA = -9999
+#: Distances of cells and points that a task holds at a time.
+BLOCK = 1 << 18
 
 
 def cell_means(df: DataFrame, resolution: float = 5, column: str | None = None) -> DataFrame:
@@ -30,15 +34,67 @@ def template(df: DataFrame, cell: float, margin: int) -> DataFrame:
     return grid.select(*order.keys(df), "cell_x", "cell_y", ((F.col("cell_x") + 0.5) * cell).alias("gx"), ((F.col("cell_y") + 0.5) * cell).alias("gy"))
 
 
-def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int) -> DataFrame:
-    """Pairs of cells and points within the radius, by way of buckets of the radius' size."""
+def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int, method: str) -> DataFrame:
+    """Rows (cell_x, cell_y, a, b, c, n): what some of the points within the radius give a cell; a cell may have several.
+
+    Points go to the tiles of the radius' size around them, and a batch of a tile's points
+    meets the tile's cells as one block, so that pairs are never rows and a dense tile is
+    taken batch by batch.  Nearest: a distance, b value.  Inverse distances: a weighted
+    sum, b weights, c sum and n number of points at the centre.
+    """
     on = order.keys(df)
-    pts = df.filter(F.col(column).isNotNull()).select(*on, "X", "Y", F.col(column).cast("double").alias("v"), F.floor(F.col("X") / radius).alias("bx"), F.floor(F.col("Y") / radius).alias("by"))
-    for b in ("bx", "by"):
+    box = df.groupBy(*on).agg(*(f(F.floor(F.col(c) / cell)).cast("long").alias(f"{n}{c}") for c in ("X", "Y") for n, f in (("lo", F.min), ("hi", F.max))))
+    pts = df.filter(F.col(column).isNotNull()).select(*on, F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"), F.col(column).cast("double").alias("v"), F.floor(F.col("X") / radius).cast("long").alias("bx"), F.floor(F.col("Y") / radius).cast("long").alias("by"))
+    pts = pts.filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
+    pts = pts.join(box, on) if on else pts.crossJoin(box)
+    for b, c in (("bx", "X"), ("by", "Y")):
         pts = pts.withColumn(b, F.explode(F.array(F.col(b) - 1, F.col(b), F.col(b) + 1)))
-    grid = template(df, cell, margin).withColumns({"bx": F.floor(F.col("gx") / radius), "by": F.floor(F.col("gy") / radius)})
-    near = grid.join(pts, [*on, "bx", "by"]).withColumn("d", F.hypot(F.col("gx") - F.col("X"), F.col("gy") - F.col("Y")))
-    return near.filter(F.col("d") <= radius)
+        pts = pts.filter(((F.col(b) + 1) * radius >= (F.col(f"lo{c}") - margin) * cell) & (F.col(b) * radius <= (F.col(f"hi{c}") + margin + 1) * cell))
+    tile = [*on, "bx", "by"]
+
+    def middles(b: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(max(low - margin, int(b * radius // cell) - 2), min(high + margin, int((b + 1) * radius // cell) + 2) + 1)
+        middle = (at + 0.5) * cell
+        return at[np.floor(middle / radius) == b], middle[np.floor(middle / radius) == b]
+
+    def block(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        dx, dy = gx[:, None] - x, gy[:, None] - y
+        d = np.sqrt(dx * dx + dy * dy)
+        zero = np.zeros(len(gx))
+        if method == "nearest":
+            first = d.argmin(axis=1)  # values are in order, so ties go to the smaller
+            best = d[np.arange(len(gx)), first]
+            return best, v[first], zero, (best <= radius).astype(np.int64)
+        near, centre = d <= radius, d < 1e-12
+        apart = near & ~centre
+        q = np.where(apart, d * d, 1.0)
+        return np.where(apart, v / q, 0.0).sum(axis=1), np.where(apart, 1 / q, 0.0).sum(axis=1), np.where(centre, v, 0.0).sum(axis=1), np.where(near.any(axis=1), centre.sum(axis=1), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("bx", "by", "X", "Y", "v", "loX", "hiX", "loY", "hiY")}
+            new = np.zeros(batch.num_rows, bool)
+            for n in tile:
+                code = batch.column(n).dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            cuts = np.concatenate(([0], np.flatnonzero(new), [batch.num_rows])) if batch.num_rows else np.zeros(1, int)
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                (kx, gx), (ky, gy) = middles(cols["bx"][i], cols["loX"][i], cols["hiX"][i]), middles(cols["by"][i], cols["loY"][i], cols["hiY"][i])
+                if not len(kx) or not len(ky):
+                    continue
+                by_value = np.argsort(cols["v"][i:j], kind="stable")
+                x, y, v = (cols[n][i:j][by_value] for n in ("X", "Y", "v"))
+                cx, cy = np.repeat(kx, len(ky)), np.tile(ky, len(kx))
+                mx, my = np.repeat(gx, len(ky)), np.tile(gy, len(kx))
+                step = max(1, BLOCK // len(v))
+                found = [block(mx[k : k + step], my[k : k + step], x, y, v) for k in range(0, len(cx), step)]
+                one, two, three, n = (np.concatenate(part) for part in zip(*found, strict=True))
+                ok = n > 0 if method == "nearest" else n >= 0
+                keys = [batch.column(c).take(pa.array(np.full(int(ok.sum()), i))) for c in on]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c[ok]) for c in (cx, cy, one, two, three, n))], names=[*on, "cell_x", "cell_y", "a", "b", "c", "n"])
+
+    kinds = "".join(f"`{c}` {pts.schema[c].dataType.simpleString()}, " for c in on)
+    return pts.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, f"{kinds}cell_x long, cell_y long, a double, b double, c double, n long")
 
 
 def interpolate(df: DataFrame, cell: float = 1, column: str = "Yield_kg_ha", method: str = "auto", margin: int = 5) -> DataFrame:
@@ -54,12 +110,11 @@ def interpolate(df: DataFrame, cell: float = 1, column: str = "Yield_kg_ha", met
     if method == "tps" or method == "auto" and df.filter(F.col(column).isNotNull()).limit(MAX_SPLINE_POINTS + 1).count() <= MAX_SPLINE_POINTS and not on:
         return spline(df, cell, column, margin)
     if method == "nearest":
-        near = _near(df, column, cell, 20 * cell, margin)
-        return near.groupBy(*on, "cell_x", "cell_y").agg(F.min(F.struct("d", "v"))["v"].alias("value"))
-    near = _near(df, column, cell, 15 * cell, margin)
-    weight = 1 / (F.col("d") * F.col("d"))
-    exact = F.avg(F.when(F.col("d") < 1e-12, F.col("v")))
-    return near.groupBy(*on, "cell_x", "cell_y").agg(F.coalesce(exact, F.sum(F.when(F.col("d") >= 1e-12, F.col("v") * weight)) / F.sum(F.when(F.col("d") >= 1e-12, weight))).alias("value"))
+        near = _near(df, column, cell, 20 * cell, margin, method)
+        return near.groupBy(*on, "cell_x", "cell_y").agg(F.min(F.struct("a", "b"))["b"].alias("value"))
+    near = _near(df, column, cell, 15 * cell, margin, "idw")
+    exact = F.when(F.sum("n") > 0, F.sum("c") / F.nullif(F.sum("n"), F.lit(0)))
+    return near.groupBy(*on, "cell_x", "cell_y").agg(F.coalesce(exact, F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("value"))
 
 
 def spline(df: DataFrame, cell: float, column: str, margin: int) -> DataFrame:

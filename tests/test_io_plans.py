@@ -1,6 +1,8 @@
 """Readers, writers, pipelines, plans and the stream."""
 
 import json
+import math
+import random
 import sqlite3
 import zipfile
 
@@ -144,3 +146,41 @@ def test_nulls_and_empty_tables(spark):
     holes = sample(spark, 50).withColumns({c: F.when(F.col("row_id") % 7 != 0, F.col(c)) for c in ("Flow", "Moisture", "Interval", "GPSStatus", "HeaderStatus")})
     result = cleaning.clean_yield(holes, delays=False)
     assert result.clean.count() + result.deletions.count() == 50
+
+
+def scattered(spark):
+    """Two fields with equal distances, points at a cell's centre, a null value and a null place."""
+    rng = random.Random(3)
+    at = [(rng.randrange(-40, 160) / 2, rng.randrange(0, 90) / 2, rng.randrange(40) / 4) for _ in range(400)] + [(2.0, 2.0, 9.0), (2.0, 2.0, 4.0), (400.0, 30.0, 1.0), (5.0, 5.0, None), (None, 3.0, 2.0)]
+    return [(k % 2, k, *p) for k, p in enumerate(at)]
+
+
+def by_hand(rows, method, cell=4, margin=5):
+    radius, out = (20 if method == "nearest" else 15) * cell, {}
+    for field in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == field]
+        (x0, x1), (y0, y1) = ((math.floor(min(c) / cell) - margin, math.floor(max(c) / cell) + margin) for c in ([r[i] for r in mine if r[i] is not None] for i in (2, 3)))
+        for cx in range(x0, x1 + 1):
+            for cy in range(y0, y1 + 1):
+                near = sorted((math.sqrt(((cx + 0.5) * cell - x) ** 2 + ((cy + 0.5) * cell - y) ** 2), v) for _, _, x, y, v in mine if None not in (x, y, v))
+                near = [(d, v) for d, v in near if d <= radius]
+                centre = [v for d, v in near if d < 1e-12]
+                if near:
+                    weights = [1 / d**2 for d, _ in near if d >= 1e-12]
+                    out[field, cx, cy] = near[0][1] if method == "nearest" else sum(centre) / len(centre) if centre else sum(w * v for w, (_, v) in zip(weights, near)) / sum(weights)
+    return out
+
+
+def gridded(spark, method, monkeypatch):
+    rows = scattered(spark)
+    d = spark.createDataFrame(rows, "field_id long, row_id long, X double, Y double, Flow double").repartition(3)
+    want = by_hand(rows, method)
+    monkeypatch.setattr(raster, "BLOCK", 1000)
+    got = {(r["field_id"], r["cell_x"], r["cell_y"]): r["value"] for r in raster.interpolate(d, 4, "Flow", method).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    # A cell has a row for each batch of its tile, not one for each of its points.
+    assert raster._near(d, "Flow", 4, 60, 5, method).count() <= 2 * len(want)
+
+
+def test_nearest_map_makes_no_pairs(spark, monkeypatch):
+    gridded(spark, "nearest", monkeypatch)
