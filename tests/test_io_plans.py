@@ -184,3 +184,7 @@ def gridded(spark, method, monkeypatch):
 
 def test_nearest_map_makes_no_pairs(spark, monkeypatch):
     gridded(spark, "nearest", monkeypatch)
+
+
+def test_distance_map_makes_no_pairs(spark, monkeypatch):
+    gridded(spark, "idw", monkeypatch)
