@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 MAX_SAMPLE = 20_000
 
 
+def chosen_labels(labels: DataFrame, label: str, train: Column) -> DataFrame:
+    """Rows (doc_id, label) of the labelled training documents; the larger of two labels counts, null ones and null ids do not."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(train)
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int = MAX_SAMPLE) -> DataFrame:
     """Rows (doc_id, label, text) of at most ``limit`` labelled training documents.
 
@@ -17,8 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     A document labelled twice has the larger label; null labels and ids count
     for nothing; of documents that share an id, the smallest text stands for all.
     """
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(train).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = chosen_labels(labels, label, train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 

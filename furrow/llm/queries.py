@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import decontamination, learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
-from furrow.llm.storage import doc_crc, table
+from furrow.llm.storage import Scratch, doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with its score; a null id is in no fold that is held out, a null text counts as empty."""
     docs = table(spark, sf_dir, "documents")
-    sample = learning.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~_held_out(4, 2))
-    scored = quality_classifier.quality(docs, quality_classifier.fit_sample(sample))
+    chosen = learning.chosen_labels(table(spark, sf_dir, "labels"), "quality", ~_held_out(4, 2))
+    features = Scratch(spark, "features").keep(quality_classifier.measured(docs, "doc_id"), "features")
+    scored = quality_classifier.score(features, quality_classifier.fit_labelled(features, chosen))
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import components, decontamination, learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, toxicity, url_filter
+from furrow.llm import components, decontamination, learning, lm_score, mixing, near_dedup, quality_classifier, quality_rules, queries, substring_dedup, token_count, toxicity, url_filter
 from furrow.llm import textcore as tc
 from furrow.llm.lattice import Lattice, Pieces
 from furrow.llm.storage import Scratch
@@ -334,6 +335,49 @@ def test_quality_classifier_separates_held_out(spark, empty):
     assert quality_classifier.quality(empty, quality_classifier.fit_sample(sample.limit(0))).count() == 0
 
 
+def test_quality_weights_minimise_the_loss_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    y = (np.arange(130) % 5 > 0).astype(int)
+    x = rng.normal(size=(130, len(quality_classifier.FEATURES))) + 0.4 * y[:, None] * (np.arange(len(quality_classifier.FEATURES)) % 3 == 0)
+    x[:7, 2] = 40.0
+    table = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "label int, x array<double>").repartition(3)
+    model = quality_classifier.fit(table)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    scale = quality_classifier.PAIRS_EACH / (y == 1).sum()
+
+    def loss(w):
+        return scale * np.logaddexp(0, -d @ w).sum() + w @ w / 2
+
+    w = model.weights
+    assert np.abs(w - scale * d.T @ (1 / (1 + np.exp(d @ w)))).max() < 1e-3 and loss(w) < loss(np.zeros(len(w))) - 1
+    s = np.sort(z @ w)
+    assert model.cut == pytest.approx((s[(y == 0).sum() - 1] + s[(y == 0).sum()]) / 2, abs=1e-9)
+    sums = quality_classifier.moments(table, model)
+    value, gradient, _ = quality_classifier.all_pairs(sums)
+    assert value == pytest.approx(np.logaddexp(0, -d @ w).sum(), rel=1e-9) and gradient == pytest.approx(-d.T @ (1 / (1 + np.exp(d @ w))), rel=1e-7, abs=1e-7)
+
+
+@pytest.mark.parametrize("rank", [1, 2, 3, 4, 499, 500])
+def test_strength_at_a_rank_equals_sorting(spark, monkeypatch, rank):
+    monkeypatch.setattr(quality_classifier, "CUTS", 4)
+    s = sorted([1.0] * 3 + [math.nextafter(1.0, 2.0)] + [(i * 37 % 497) / 7 + 1.5 for i in range(496)])
+    got = quality_classifier.at_rank(spark.createDataFrame([(v,) for v in s], "s double"), rank)
+    assert got == (s[rank - 1] + s[min(rank, 499)]) / 2
+
+
+def test_labels_for_quality_are_all_taken(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    texts = [(i, " ".join(words(rng, 60)) + ("." if i % 4 else " $$$" * (i % 9))) for i in range(120)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in texts], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    taken, fit = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows: taken.append(rows.count()) or fit(rows))
+    monkeypatch.setattr(learning, "labelled_sample", None)
+    assert queries.op6_quality_classifier(spark, str(tmp_path)).count() == 120
+    assert taken == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(120))]
+
+
 def test_labelled_sample_is_bounded(spark, docs):
     labels = spark.createDataFrame([(0, 1), (3, 0), (3, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     found = {r["doc_id"]: r["label"] for r in learning.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()}
