@@ -7,6 +7,10 @@ Count-min sketch of its own, and the sketches are added counter by counter;
 merged, they overestimate how many documents hold a window.  A second pass
 groups exactly only the windows whose estimate is two or more.  A sketch may
 keep a window too many and loses none, whatever its width.
+
+The second pass first groups whole stretches of windows that share an anchor: in
+a copy of a stretch, every window also starts where the stretch was first.  Only the
+windows of stretches that no smaller id holds as a whole are then grouped one by one.
 """
 
 from __future__ import annotations
@@ -151,8 +155,11 @@ def estimated_repeated(rows: DataFrame, merged: DataFrame, depth: int, width: in
     return rows.groupBy("did", "th").agg(F.collect_list("anchor").alias("hot"))
 
 
-def window_rows(docs: DataFrame, window: int, size: int) -> DataFrame:
-    """Rows (w1, w2, did, th, pos) of the windows whose anchor is in the document's list; the key has 96 bits."""
+def stretch_rows(docs: DataFrame, window: int, size: int) -> DataFrame:
+    """Rows (k1, k2, n, did, th, pos): stretches of n windows, one word apart, that share an anchor of the document's list.
+
+    A stretch has ``window`` windows at most, so that its first and last hold all its words; their hashes are the key of 128 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,29 +172,63 @@ def window_rows(docs: DataFrame, window: int, size: int) -> DataFrame:
                 among = np.sort(hot.flatten().to_numpy().view(np.uint64) ^ tc.mix(doc_of.astype(np.uint64) + mark))
                 key = anchor ^ tc.mix(w.doc[starts].astype(np.uint64) + mark)
                 ok = among[np.minimum(np.searchsorted(among, key), len(among) - 1)] == key if len(among) else np.zeros(len(key), bool)
-                starts = starts[ok]
+                starts, anchor = starts[ok], anchor[ok]
+                new = np.ones(len(starts), bool)
+                new[1:] = (starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (w.doc[starts[1:]] != w.doc[starts[:-1]])
+                place = np.arange(len(starts))
+                new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % window == 0
+                first = starts[new]
+                n = np.diff(np.append(np.flatnonzero(new), len(starts)))
+                keys = []
+                for k in (0, 1):
+                    grams = w.grams(w.hashes(k), window, k)
+                    keys.append(pa.array(tc.mix(grams[first] + tc.mix(grams[first + n - 1])).view(np.int64)))
+                at = pa.array(w.doc[first])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n.astype(np.int32)), part.column("did").take(at), part.column("th").take(at), pa.array((first - w.first[w.doc[first]]).astype(np.int32))], names=["k1", "k2", "n", "did", "th", "pos"])
+
+    return docs.select("did", "th", "text", "hot").mapInArrow(run, "k1 long, k2 long, n int, did long, th long, pos int")
+
+
+def window_rows(docs: DataFrame, window: int) -> DataFrame:
+    """Rows (w1, w2, did, th, pos) of the windows of the document's list of stretches ``leading``; the key has 96 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tc.row_chunks(batch):
+                w = tc.Words(part.column("text"))
+                leading = part.column("leading")
+                doc_of = np.repeat(np.arange(w.n_docs), leading.value_lengths().to_numpy())
+                pos, n = (leading.flatten().field(name).to_numpy() for name in ("pos", "n"))
+                starts = np.repeat(w.first[doc_of] + pos - np.cumsum(n) + n, n) + np.arange(n.sum())
                 one, two = (w.grams(w.hashes(k), window, k)[starts] for k in (0, 1))
                 at = pa.array(w.doc[starts])
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("did").take(at), part.column("th").take(at), pa.array((starts - w.first[w.doc[starts]]).astype(np.int32))], names=["w1", "w2", "did", "th", "pos"])
 
-    return docs.select("did", "th", "text", "hot").mapInArrow(run, "w1 long, w2 int, did long, th long, pos int")
+    return docs.select("did", "th", "text", "leading").mapInArrow(run, "w1 long, w2 int, did long, th long, pos int")
 
 
-def as_runs(positions: DataFrame, window: int) -> DataFrame:
-    """Rows (did, th, starts, ends): the stretches of words that windows at the listed positions cover."""
+def as_runs(found: DataFrame, window: int) -> DataFrame:
+    """Rows (did, th, starts, ends): the stretches of words that the listed (pos, n), n windows from a position on, cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
-            for pos in batch.column("pos"):
-                p = np.unique(pos.values.to_numpy())
-                new = np.flatnonzero(np.diff(p, prepend=p[0] - window - 1) > window)
+            for part in batch.column("found"):
+                p, n = (part.values.field(name).to_numpy() for name in ("pos", "n"))
+                order = np.argsort(p, kind="stable")
+                p, end = p[order], np.maximum.accumulate((p + n - 1 + window)[order])
+                new = np.append(0, np.flatnonzero(p[1:] > end[:-1]) + 1)
                 starts.append(p[new])
-                ends.append(p[np.append(new[1:] - 1, len(p) - 1)] + window)
+                ends.append(end[np.append(new[1:] - 1, len(p) - 1)])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(starts, kind), pa.array(ends, kind)], names=["did", "th", "starts", "ends"])
 
-    return positions.mapInArrow(run, "did long, th long, starts array<int>, ends array<int>")
+    return found.mapInArrow(run, "did long, th long, starts array<int>, ends array<int>")
+
+
+def first_ids(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, first): the smallest id of the keys that several ids hold."""
+    return rows.groupBy(*key).agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("last > first").select(*key, "first")
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size: int = ANCHOR_WORDS, depth: int = DEPTH, width: int | None = None) -> DataFrame:
@@ -201,12 +242,23 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, size:
     hot = scratch.keep(estimated_repeated(rows, merged, depth, width), "hot")
     n_hot = hot.agg(F.coalesce(F.sum(F.size("hot") + 4), F.lit(0))).first()[0]
     scratch.drop(rows, merged)
-    windows = scratch.keep(window_rows(docs.select("did", "th", "text").join(small(hot, 8 * n_hot), ["did", "th"]), window, size), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("last > first")
-    first = scratch.keep(first.select("w1", "w2", "first"), "first")
-    later = windows.join(first, ["w1", "w2"]).filter("did > first")
-    runs = scratch.keep(as_runs(later.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), window), "runs")
-    scratch.drop(windows, first, hot)
+    texts = docs.select("did", "th", "text")
+    stretches = scratch.keep(stretch_rows(texts.join(small(hot, 8 * n_hot), ["did", "th"]), window, size), "stretches")
+    key = ["k1", "k2", "n"]
+    first = scratch.keep(first_ids(stretches, key), "first-of-stretches")
+    place, copied = F.struct("pos", "n"), F.col("did") > F.col("first")
+    # Without a first id, no other id holds the stretch.
+    split = stretches.join(first, key, "left").groupBy("did", "th").agg(F.collect_list(F.when(copied, place)).alias("copied"), F.collect_list(F.when(F.coalesce(~copied, F.lit(True)), place)).alias("leading"))
+    split = scratch.keep(split, "split")
+    scratch.drop(stretches, first, hot)
+    leading = split.filter(F.size("leading") > 0).select("did", "th", "leading")
+    n_leading = leading.agg(F.coalesce(F.sum(F.size("leading") + 4), F.lit(0))).first()[0]
+    windows = scratch.keep(window_rows(texts.join(small(leading, 16 * n_leading), ["did", "th"]), window), "windows")
+    first = scratch.keep(first_ids(windows, ["w1", "w2"]), "first-of-windows")
+    later = windows.join(first, ["w1", "w2"]).filter("did > first").select("did", "th", "pos", F.lit(1).alias("n"))
+    later = later.unionByName(split.select("did", "th", F.inline("copied")))
+    runs = scratch.keep(as_runs(later.groupBy("did", "th").agg(F.collect_list(place).alias("found")), window), "runs")
+    scratch.drop(windows, first, split)
     return runs
 
 

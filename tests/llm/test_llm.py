@@ -95,6 +95,45 @@ def test_substring_sketch_of_any_width_loses_no_window(spark, docs, monkeypatch)
     assert want and all(runs(width) == want for width in (1, 7, 512))
 
 
+def test_copies_of_a_stretch_add_no_windows(spark, monkeypatch):
+    rng = random.Random(4)
+    text = words(rng, 200)
+    texts = {i: list(text) for i in range(2, 22)} | {1: [*words(rng, 30), *text[40:150], *words(rng, 30)]}
+    counts, keep = {}, Scratch.keep
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = rows(substring_dedup.substring_digest(table))
+    assert {d: r["n_words"] - r["n_removed"] for d, r in got.items()} == {d: len(w) for d, w in without_repeats(texts).items()}
+    assert 0 < counts["windows"] <= 151 + 121
+
+
+def test_stretches_equal_trying_every_window(spark):
+    """Few words, so that one anchor serves long stretches; rows that share an id; more text than a chunk takes."""
+    rng = random.Random(6)
+    base = [rng.choices("ab" if i % 3 else "abcdefgh", k=rng.randint(3, 120)) for i in range(40)]
+    made = [(i // 2, [*rng.choice(base)[: rng.randint(0, 90)], *rng.choice(base), *["a"] * rng.choice([0, 0, 30])]) for i in range(160)]
+    made += [(200 + i, [f"{x}{'z' * 3000}" for x in rng.choice(base)]) for i in range(20)]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in made], "doc_id long, text string").coalesce(1)
+    window = 9
+    first = {}
+    for d, w in made:
+        for i in range(len(w) - window + 1):
+            first[tuple(w[i : i + window])] = min(d, first.get(tuple(w[i : i + window]), d))
+    want = []
+    for d, w in made:
+        gone = {j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for j in range(i, i + window)}
+        want.append((d, len(w), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    runs = substring_dedup.repeated_runs(table, Scratch(spark, "test"), window, 3)
+    got = substring_dedup.cut(table, runs, digest=True).select("doc_id", "n_words", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("width", [3, 1 << 12])
 def test_merged_sketch_equals_counting_every_cell(spark, width):
     rows = spark.range(400).select((F.col("id") % 150).alias("anchor")).repartition(5)
