@@ -18,6 +18,8 @@ MAX_SPLINE_POINTS = 5000
 NO_DATA = -9999
 #: Distances of cells and points that a task holds at a time.
 BLOCK = 1 << 18
+#: Points that a task sorts, about; their number sets that of the tasks, whatever the session's partitions.
+TASK_POINTS = 1 << 17
 
 
 def cell_means(df: DataFrame, resolution: float = 5, column: str | None = None) -> DataFrame:
@@ -35,17 +37,18 @@ def template(df: DataFrame, cell: float, margin: int) -> DataFrame:
 
 
 def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int, method: str) -> DataFrame:
-    """Rows (cell_x, cell_y, a, b, c, n): what some of the points within the radius give a cell; a cell may have several.
+    """Rows (cell_x, cell_y, value) of the cells with a point within the radius.
 
     Points go to the tiles of the radius' size around them, and a batch of a tile's points
     meets the tile's cells as one block, so that pairs are never rows and a dense tile is
-    taken batch by batch.  Nearest: a distance, b value.  Inverse distances: a weighted
-    sum, b weights, c sum and n number of points at the centre.
+    taken batch by batch.  A cell lies in one tile, whose points come one after another,
+    so that its batches are added where they are and a cell is a row once.
     """
     on = order.keys(df)
     box = df.groupBy(*on).agg(*(f(F.floor(F.col(c) / cell)).cast("long").alias(f"{n}{c}") for c in ("X", "Y") for n, f in (("lo", F.min), ("hi", F.max))))
     pts = df.filter(F.col(column).isNotNull()).select(*on, F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"), F.col(column).cast("double").alias("v"), F.floor(F.col("X") / radius).cast("long").alias("bx"), F.floor(F.col("Y") / radius).cast("long").alias("by"))
     pts = pts.filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
+    tasks = 1 + 9 * pts.count() // TASK_POINTS
     pts = pts.join(box, on) if on else pts.crossJoin(box)
     for b, c in (("bx", "X"), ("by", "Y")):
         pts = pts.withColumn(b, F.explode(F.array(F.col(b) - 1, F.col(b), F.col(b) + 1)))
@@ -70,7 +73,21 @@ def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int, m
         q = np.where(apart, d * d, 1.0)
         return np.where(apart, v / q, 0.0).sum(axis=1), np.where(apart, 1 / q, 0.0).sum(axis=1), np.where(centre, v, 0.0).sum(axis=1), np.where(near.any(axis=1), centre.sum(axis=1), -1)
 
+    def merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        (a, b, c, n), (p, q, r, m) = one, two
+        if method == "nearest":
+            return np.minimum(a, p), np.where(a < p, b, np.where(a > p, q, np.fmin(b, q))), c, np.maximum(n, m)
+        return a + p, b + q, c + r, np.where((n < 0) | (m < 0), np.maximum(n, m), n + m)
+
+    def finished(key: tuple, cx: np.ndarray, cy: np.ndarray, sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        a, b, c, n = sums
+        ok = n > 0 if method == "nearest" else n >= 0
+        value = b if method == "nearest" else np.where(n > 0, c / np.maximum(n, 1), a / np.where(b > 0, b, 1.0))
+        keys = [pa.repeat(k, int(ok.sum())) for k in key[: len(on)]]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(v[ok]) for v in (cx, cy, value))], names=[*on, "cell_x", "cell_y", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("bx", "by", "X", "Y", "v", "loX", "hiX", "loY", "hiY")}
             new = np.zeros(batch.num_rows, bool)
@@ -88,13 +105,18 @@ def _near(df: DataFrame, column: str, cell: float, radius: float, margin: int, m
                 mx, my = np.repeat(gx, len(ky)), np.tile(gy, len(kx))
                 step = max(1, BLOCK // len(v))
                 found = [block(mx[k : k + step], my[k : k + step], x, y, v) for k in range(0, len(cx), step)]
-                one, two, three, n = (np.concatenate(part) for part in zip(*found, strict=True))
-                ok = n > 0 if method == "nearest" else n >= 0
-                keys = [batch.column(c).take(pa.array(np.full(int(ok.sum()), i))) for c in on]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c[ok]) for c in (cx, cy, one, two, three, n))], names=[*on, "cell_x", "cell_y", "a", "b", "c", "n"])
+                sums = tuple(np.concatenate(part) for part in zip(*found, strict=True))
+                key = tuple(batch.column(n)[i] for n in tile)
+                if held and held[0] == key:
+                    sums = merged(held[3], sums)
+                elif held:
+                    yield finished(*held)
+                held = key, cx, cy, sums
+        if held:
+            yield finished(*held)
 
     kinds = "".join(f"`{c}` {pts.schema[c].dataType.simpleString()}, " for c in on)
-    return pts.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, f"{kinds}cell_x long, cell_y long, a double, b double, c double, n long")
+    return pts.repartition(tasks, *tile).sortWithinPartitions(*tile).mapInArrow(run, f"{kinds}cell_x long, cell_y long, value double")
 
 
 def interpolate(df: DataFrame, cell: float = 1, column: str = "Yield_kg_ha", method: str = "auto", margin: int = 5) -> DataFrame:
@@ -109,12 +131,7 @@ def interpolate(df: DataFrame, cell: float = 1, column: str = "Yield_kg_ha", met
     on = order.keys(df)
     if method == "tps" or method == "auto" and df.filter(F.col(column).isNotNull()).limit(MAX_SPLINE_POINTS + 1).count() <= MAX_SPLINE_POINTS and not on:
         return spline(df, cell, column, margin)
-    if method == "nearest":
-        near = _near(df, column, cell, 20 * cell, margin, method)
-        return near.groupBy(*on, "cell_x", "cell_y").agg(F.min(F.struct("a", "b"))["b"].alias("value"))
-    near = _near(df, column, cell, 15 * cell, margin, "idw")
-    exact = F.when(F.sum("n") > 0, F.sum("c") / F.nullif(F.sum("n"), F.lit(0)))
-    return near.groupBy(*on, "cell_x", "cell_y").agg(F.coalesce(exact, F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("value"))
+    return _near(df, column, cell, (20 if method == "nearest" else 15) * cell, margin, method)
 
 
 def spline(df: DataFrame, cell: float, column: str, margin: int) -> DataFrame:

@@ -11,6 +11,7 @@ from furrow.adapter import yield_points
 from furrow.functions import geo, units
 from furrow.functions.rcompat import no_nan, r_div
 from furrow.operators import anonymize, audit, delay, filters, motion, spatial, thresholds
+from furrow.sinks import raster
 
 
 def points(spark, **columns):
@@ -256,6 +257,24 @@ def test_map_queries_cover_all_points_of_all_fields(spark, events, name):
     assert all(got[c] == pytest.approx(want[c], abs=1e-6) for c in want)
 
 
+@pytest.mark.parametrize("method", ["idw", "nearest"])
+def test_maps_take_tasks_by_points_and_add_a_tile_s_batches(spark, events, monkeypatch, method):
+    points = yield_points(spark, events)
+    result = lambda: {(r["field_id"], r["cell_x"], r["cell_y"]): r["value"] for r in raster.interpolate(points, 4, "Flow", method).collect()}
+    want = result()
+    monkeypatch.setattr(raster, "TASK_POINTS", 300)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        table = raster.interpolate(points, 4, "Flow", method)
+        assert table.rdd.getNumPartitions() == 1 + 9 * points.filter("Flow IS NOT NULL").count() // 300
+        assert table.groupBy("field_id", "cell_x", "cell_y").count().filter("count > 1").isEmpty()
+        assert result() == {c: pytest.approx(v, rel=1e-12) for c, v in want.items()}
+    finally:
+        spark.conf.set(batch, before)
+
+
 def moran_by_trying_all(points, delay):
     """Moran's I of the values ``delay`` rows on, from the sorted distances of every point."""
     value = [points[i + delay][2] if 0 <= i + delay < len(points) else None for i in range(len(points))]
